@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.packing import op6_best_fit_packing
 from quarrylight.llm.simple8b import op3_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
