@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc32_mod(column: str, modulus: int):
     """crc32 of the decimal text of a column, modulo ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if any(Path(p).resolve() == root for p in [*known, os.getcwd()]):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        where = shutil.make_archive(f"{tempfile.mkdtemp()}/quarrylight", "zip", root, "quarrylight")
+        spark.sparkContext.addPyFile(where)
+        _shipped.add(app)
