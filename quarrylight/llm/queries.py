@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.decontaminate import op2_decontamination
+from quarrylight.llm import licenses
 from quarrylight.llm.packing import op6_best_fit_packing
 from quarrylight.llm.runtime import ship
 from quarrylight.llm.simple8b import op3_token_output
@@ -24,10 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_scan": licenses.op7_license_scan,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 SQL: dict[str, str] = {
+    "op7_license_scan": licenses.sql_twin(),
     "op2_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
