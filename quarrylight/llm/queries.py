@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.decontaminate import op2_decontamination
 from quarrylight.llm import licenses
+from quarrylight.llm.langid import op4_language_id
 from quarrylight.llm.packing import op6_best_fit_packing
 from quarrylight.llm.runtime import ship
 from quarrylight.llm.simple8b import op3_token_output
+from quarrylight.llm.toxicity import op1_toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,8 +24,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
+    "op4_language_id": op4_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": licenses.op7_license_scan,
 }

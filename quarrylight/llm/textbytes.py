@@ -76,8 +76,8 @@ class TextSlice:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes().decode("utf-8", "replace")
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES) -> Iterator[TextSlice]:
-    """Cut a string column in slices of about ``slice_bytes``; a longer text is a slice of its own."""
+def text_slices(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[TextSlice]:
+    """Cut a string column in slices of about ``slice_bytes`` and at most ``rows``; a longer text is a slice of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -91,7 +91,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYT
     at = 0
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + slice_bytes, side="right")) - 1
-        to = min(max(to, at + 1), len(column))
+        to = min(max(to, at + 1), at + rows, len(column))
         yield TextSlice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
