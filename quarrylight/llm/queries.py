@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.decontaminate import op2_decontamination
-from quarrylight.llm import licenses, vectors
+from quarrylight.llm import licenses, ngram_join, vectors
 from quarrylight.llm.langid import op4_language_id
 from quarrylight.llm.packing import op6_best_fit_packing
 from quarrylight.llm.runtime import ship
@@ -31,12 +31,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": licenses.op7_license_scan,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 SQL: dict[str, str] = {
     "op7_license_scan": licenses.sql_twin(),
     "op9_embedding_near_dedup": vectors.SQL,
+    "op10_ngram_join": ngram_join.SQL,
     "op2_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
