@@ -10,8 +10,10 @@ from quarrylight.llm.decontaminate import op2_decontamination
 from quarrylight.llm import licenses, ngram_join, vectors
 from quarrylight.llm.langid import op4_language_id
 from quarrylight.llm.packing import op6_best_fit_packing
+from quarrylight.llm.quality import op8_quality
 from quarrylight.llm.runtime import ship
 from quarrylight.llm.simple8b import op3_token_output
+from quarrylight.llm.surrogates import op5_pii_surrogates
 from quarrylight.llm.toxicity import op1_toxicity
 
 
@@ -28,8 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
