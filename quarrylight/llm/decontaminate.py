@@ -10,12 +10,12 @@ the next sampled position, and their spans are merged over the words of the docu
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,21 +231,16 @@ def search_shard(piece: TextSlice, phrases: Phrases) -> Hits:
     return Hits(words, hit, np.unique(np.stack([row[at], which], 1), axis=0))
 
 
-def spans_of(piece: TextSlice, hits: Hits) -> list[list[tuple[int, int]]]:
-    """Merged character spans to remove, for each row."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(len(piece))]
-    row = hits.words.rows()
-    begins, ends = hits.hit.copy(), hits.hit.copy()
+def removal_spans(piece: TextSlice, hit: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, first byte, end byte) of the merged spans of hit words, in order."""
+    words = find_words(piece)
+    row = words.rows()
+    begins, ends = hit.copy(), hit.copy()
     cut = row[1:] != row[:-1]
-    begins[1:] &= ~hits.hit[:-1] | cut
-    ends[:-1] &= ~hits.hit[1:] | cut
-    is_char = (piece.data & 0xC0) != 0x80
-    chars = np.concatenate([[0], np.cumsum(is_char)])
-    for a, b in zip(np.flatnonzero(begins), np.flatnonzero(ends)):
-        r = row[a]
-        base = chars[piece.offsets[r]]
-        out[r].append((int(chars[hits.words.starts[a]] - base), int(chars[hits.words.ends[b]] - base)))
-    return out
+    begins[1:] &= ~hit[:-1] | cut
+    ends[:-1] &= ~hit[1:] | cut
+    for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
+        yield int(row[a]), int(words.starts[a]), int(words.ends[b])
 
 
 def _item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -261,7 +256,7 @@ def _item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iter
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Add n_words, n_hit, items (array of item ids, as strings) and spans (start and end characters) to ``docs``.
+    """Add n_words, n_hit, items (array of item ids, as strings) and hit_words (places of hit words) to ``docs``.
 
     ``keep`` names the columns of ``docs`` to carry; ``text`` must be one of ``docs``.  The benchmark is
     read in blocks of BLOCK_BYTES, one pass over the shards for each, so no task holds more than one.
@@ -318,6 +313,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return found.select(*[F.col(f"k{i}").alias(f.name) for i, f in enumerate(fields)], F.col("the_words").alias("n_words"), F.size("the_hits").cast("long").alias("n_hit"), F.col("the_items").alias("items"), F.col("the_hits").alias("hit_words"))
 
 
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the merged spans of test passages; a text that has no word left is dropped.
+
+    Texts without an occurrence, null and empty ones stay as they are.
+    """
+    found = find_contamination(docs, benchmark, window)
+    at, hits_at = docs.columns.index("text"), found.columns.index("hit_words")
+    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]
+    schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, hits = batch.column(at), batch.column(batch.num_columns - 1)
+            changed = np.flatnonzero(np.asarray(pc.list_value_length(hits)) > 0)
+            new, left = texts.to_pylist() if len(changed) else None, np.ones(len(texts), bool)
+            for k in changed.tolist():
+                raw = new[k].encode("utf-8", "replace")
+                data = np.frombuffer(raw, np.uint8)
+                piece = TextSlice(0, data, np.array([0, len(data)]))
+                hit = np.zeros(len(find_words(piece).starts), bool)
+                hit[hits[k].as_py()] = True
+                parts, last = [], 0
+                for _, a, b in removal_spans(piece, hit):
+                    parts.append(raw[last:a])
+                    last = b
+                new[k] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
+                left[k] = not hit.all()
+            arrays = [pa.array(new, texts.type) if i == at and new is not None else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(left))
+
+    out = found.select(*columns, F.col(found.columns[hits_at])).mapInArrow(cut, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
