@@ -1,10 +1,5 @@
 """All registered queries of the engine and their SQL twins."""
 
-from __future__ import annotations
+from quarrylight.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
