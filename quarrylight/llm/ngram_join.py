@@ -146,7 +146,8 @@ def find_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     about = sizes.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_words").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     placed = sizes.join(about.select("root", blocks.alias("blocks")), "root").select(F.col("node").alias("row"), "root", "weight", "blocks")
-    placed = texts.select("row", "text").join(placed, "row")
+    # the same plan at every size: texts of groups are a share of the corpus and never broadcast
+    placed = texts.select("row", "text").join(placed.hint("merge"), "row")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", **options)
     found = find_links(docs, id_column=id_column, **options)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     kept = first.select(F.col("first.row").alias("the_row"))
-    return docs.withColumn("the_row", F.monotonically_increasing_id()).join(kept, "the_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return docs.withColumn("the_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "the_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
