@@ -112,7 +112,7 @@ def content_performance(e: Entities) -> DataFrame:
 
 @query(
     """SELECT posicao, status, count(*) AS recomendacoes, count(*) FILTER (WHERE convertida) AS convertidas, round(CAST(count(*) FILTER (WHERE convertida) AS DOUBLE) / count(*), 4) AS taxa_conversao, count(*) FILTER (WHERE convertida_apos_geracao) AS convertidas_apos_geracao,
-count(*) FILTER (WHERE concluida) AS concluidas, round(CAST(avg(pontuacao) AS DOUBLE), 2) AS pontuacao_media FROM fato_recomendacao WHERE geracao_vigente GROUP BY 1, 2""",
+count(*) FILTER (WHERE concluida) AS concluidas, CAST((2 * CAST(sum(pontuacao) * 100 AS BIGINT) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS pontuacao_media FROM fato_recomendacao WHERE geracao_vigente GROUP BY 1, 2""",
     "fato_recomendacao",
 )
 def recommendation_conversion(e: Entities) -> DataFrame:
@@ -138,7 +138,7 @@ def engagement_rows(e: Entities) -> DataFrame:
 
 
 _CONVERSION_ROWS = """SELECT CAST(date_trunc('month', data_geracao) AS DATE) AS mes_geracao, categoria, tipo, CASE WHEN posicao <= 3 THEN '1–3 (topo)' WHEN posicao <= 6 THEN '4–6' ELSE '7–10' END AS faixa_posicao, status, count(*) AS recomendacoes, count(*) FILTER (WHERE convertida) AS convertidas, count(*) FILTER (WHERE concluida) AS concluidas,
-round(CAST(avg(pontuacao) AS DOUBLE), 2) AS pontuacao_media FROM fato_recomendacao JOIN dim_conteudo USING (conteudo_mestre_id) WHERE geracao_vigente GROUP BY ALL"""
+CAST((2 * CAST(sum(pontuacao) * 100 AS BIGINT) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS pontuacao_media FROM fato_recomendacao JOIN dim_conteudo USING (conteudo_mestre_id) WHERE geracao_vigente GROUP BY ALL"""
 
 
 @query(_CONVERSION_ROWS, "fato_recomendacao", "dim_conteudo")

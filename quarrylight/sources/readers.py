@@ -53,9 +53,11 @@ def typed(c: Column, f: T.StructField, mask: str | None, tolerant: bool) -> Colu
     if isinstance(f.dataType, (T.DoubleType, T.DecimalType)):
         number = comma_decimal(c)
         return number.try_cast(f.dataType) if tolerant else number.cast(f.dataType)
-    to = F.try_to_timestamp if tolerant else F.to_timestamp
     mask = mask or (INGESTED_FORMAT if f.name == "data_ingestao" else None)
-    value = to(c, F.lit(mask)) if mask else (c.try_cast("timestamp") if tolerant else c.cast("timestamp"))
+    if mask:
+        value = F.try_to_timestamp(c, F.lit(mask)) if tolerant else F.to_timestamp(c, mask)
+    else:
+        value = c.try_cast("timestamp") if tolerant else c.cast("timestamp")
     return value.cast(f.dataType)
 
 
