@@ -23,7 +23,7 @@ from quarrylight.llm.textbytes import TextSlice, find_words, span_hashes, text_s
 
 WINDOW = 10
 SAMPLE = 16
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20  # test items are read and searched in blocks of about so much text
 
 
@@ -255,6 +255,76 @@ def _item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iter
         yield block
 
 
+def _search_batch(batch: pa.RecordBatch, text_at: int, phrases: Phrases | None, first_block: bool) -> Iterator[pa.RecordBatch]:
+    """Search the shards of a batch and add what they hit to the_hits and the_items; without phrases only count words."""
+    names = batch.schema.names
+    for piece in text_slices(batch.column(text_at), SHARD_BYTES):
+        own = batch.slice(piece.first, len(piece))
+        columns = list(own.columns)
+        if phrases is None:
+            counts = np.diff(find_words(piece).first)
+        else:
+            hits = search_shard(piece, phrases)
+            counts, row = np.diff(hits.words.first), hits.words.rows()
+            flat = (np.arange(len(row)) - np.repeat(hits.words.first[:-1], counts))[hits.hit]
+            by_row = np.concatenate([[0], np.cumsum(np.bincount(row[hits.hit], minlength=len(piece)))])
+            items: list[set[str]] = [set() for _ in range(len(piece))]
+            for r, w in hits.pairs.tolist():
+                items[r].update(phrases.items[w])
+            new_hits: pa.Array = pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            if not first_block:
+                old_hits, old_items = own.column(names.index("the_hits")), own.column(names.index("the_items"))
+                new_hits = pa.array([sorted({*a, *b}) for a, b in zip(old_hits.to_pylist(), new_hits.to_pylist())], pa.list_(pa.int32()))
+                items = [{*a, *b} for a, b in zip(old_items.to_pylist(), items)]
+            columns[names.index("the_hits")] = new_hits
+            columns[names.index("the_items")] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+        columns[names.index("the_words")] = pa.array(counts.astype(np.int64))
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _cut(batch: pa.RecordBatch, at: int, hits_at: int) -> pa.RecordBatch:
+    """Texts of column ``at`` without their spans of hit words; a text that keeps no word loses its row."""
+    texts, hits = batch.column(at), batch.column(hits_at)
+    changed = np.flatnonzero(np.asarray(pc.list_value_length(hits)) > 0)
+    if not len(changed):
+        return batch
+    new, left = texts.to_pylist(), np.ones(len(texts), bool)
+    for k in changed.tolist():
+        raw = new[k].encode("utf-8", "replace")
+        data = np.frombuffer(raw, np.uint8)
+        piece = TextSlice(0, data, np.array([0, len(data)]))
+        hit = np.zeros(len(find_words(piece).starts), bool)
+        hit[hits[k].as_py()] = True
+        parts, last = [], 0
+        for _, a, b in removal_spans(piece, hit):
+            parts.append(raw[last:a])
+            last = b
+        new[k] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
+        left[k] = not hit.all()
+    return batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type)).filter(pa.array(left))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str], item_id: str, item_text: str, cut: bool) -> DataFrame:
+    """The columns k0, k1 ... of ``keep`` with the_words, the_hits and the_items: one pass for each block of items."""
+    spark = docs.sparkSession
+    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    columns += [] if "text" in keep else [F.col("text").alias("the_text")]
+    found = docs.select(*columns, F.lit(0).cast("long").alias("the_words"), F.array().cast("array<int>").alias("the_hits"), F.array().cast("array<string>").alias("the_items"))
+    names = found.columns
+    at = keep.index("text") if "text" in keep else len(keep)
+    blocks = [spark.sparkContext.broadcast(phrases_of(block, window)) for block in _item_blocks(benchmark, item_id, item_text)] or [None]
+    for number, shared in enumerate(blocks):
+        last = number == len(blocks) - 1
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for out in _search_batch(batch, at, None if shared is None else shared.value, first):
+                    yield _cut(out, at, names.index("the_hits")) if cut and last else out
+
+        found = found.mapInArrow(search, found.schema)
+    return found
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add n_words, n_hit, items (array of item ids, as strings) and hit_words (places of hit words) to ``docs``.
 
@@ -264,87 +334,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     has no words.  Items without words have no windows; an item with a null id hits words but isn't named.
     """
     keep = docs.columns if keep is None else keep
-    spark = docs.sparkSession
-    fields = [docs.schema[c] for c in keep]
-    found = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("the_text"), F.lit(0).cast("long").alias("the_words"), F.array().cast("array<int>").alias("the_hits"), F.array().cast("array<string>").alias("the_items"))
-    blocks = 0
-    for block in _item_blocks(benchmark, item_id, item_text):
-        blocks += 1
-        shared = spark.sparkContext.broadcast(phrases_of(block, window))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                texts = batch.column(names.index("the_text"))
-                for piece in text_slices(texts, SHARD_BYTES):
-                    own = batch.slice(piece.first, len(piece))
-                    hits = search_shard(piece, shared.value)
-                    counts = np.diff(hits.words.first)
-                    row = hits.words.rows()
-                    order = np.arange(len(row)) - np.repeat(hits.words.first[:-1], counts)
-                    flat = order[hits.hit]
-                    by_row = np.concatenate([[0], np.cumsum(np.bincount(row[hits.hit], minlength=len(piece)))])
-                    items: list[set[str]] = [set() for _ in range(len(piece))]
-                    for r, w in hits.pairs.tolist():
-                        items[r].update(shared.value.items[w])
-                    old_hits, old_items = own.column(names.index("the_hits")), own.column(names.index("the_items"))
-                    new_hits: pa.Array = pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                    if len(old_hits.flatten()) or len(old_items.flatten()):  # from an earlier block
-                        new_hits = pa.array([sorted({*a, *b}) for a, b in zip(old_hits.to_pylist(), new_hits.to_pylist())], pa.list_(pa.int32()))
-                        items = [{*a, *b} for a, b in zip(old_items.to_pylist(), items)]
-                    columns = [own.column(k) for k in range(len(names))]
-                    columns[names.index("the_words")] = pa.array(counts.astype(np.int64))
-                    columns[names.index("the_hits")] = new_hits
-                    columns[names.index("the_items")] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        found = found.mapInArrow(search, found.schema)
-    if not blocks:  # no items: words are still counted
-        shared = spark.sparkContext.broadcast(phrases_of([], window))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                counts = [np.diff(find_words(piece).first) for piece in text_slices(batch.column(names.index("the_text")))]
-                if counts:
-                    yield batch.set_column(names.index("the_words"), "the_words", pa.array(np.concatenate(counts).astype(np.int64)))
-
-        found = found.mapInArrow(count, found.schema)
-    return found.select(*[F.col(f"k{i}").alias(f.name) for i, f in enumerate(fields)], F.col("the_words").alias("n_words"), F.size("the_hits").cast("long").alias("n_hit"), F.col("the_items").alias("items"), F.col("the_hits").alias("hit_words"))
+    found = _passes(docs, benchmark, window, keep, item_id, item_text, False)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("the_words").alias("n_words"), F.size("the_hits").cast("long").alias("n_hit"), F.col("the_items").alias("items"), F.col("the_hits").alias("hit_words"))
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the merged spans of test passages; a text that has no word left is dropped.
 
     Texts without an occurrence, null and empty ones stay as they are.
     """
-    found = find_contamination(docs, benchmark, window)
-    at, hits_at = docs.columns.index("text"), found.columns.index("hit_words")
-    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]
-    schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column(at), batch.column(batch.num_columns - 1)
-            changed = np.flatnonzero(np.asarray(pc.list_value_length(hits)) > 0)
-            new, left = texts.to_pylist() if len(changed) else None, np.ones(len(texts), bool)
-            for k in changed.tolist():
-                raw = new[k].encode("utf-8", "replace")
-                data = np.frombuffer(raw, np.uint8)
-                piece = TextSlice(0, data, np.array([0, len(data)]))
-                hit = np.zeros(len(find_words(piece).starts), bool)
-                hit[hits[k].as_py()] = True
-                parts, last = [], 0
-                for _, a, b in removal_spans(piece, hit):
-                    parts.append(raw[last:a])
-                    last = b
-                new[k] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
-                left[k] = not hit.all()
-            arrays = [pa.array(new, texts.type) if i == at and new is not None else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1]).filter(pa.array(left))
-
-    out = found.select(*columns, F.col(found.columns[hits_at])).mapInArrow(cut, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    found = _passes(docs, benchmark, window, docs.columns, item_id, item_text, True)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def digest(found: DataFrame) -> DataFrame:

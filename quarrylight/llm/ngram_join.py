@@ -25,7 +25,7 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 8
-BLOCK_TEXTS, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK_TEXTS, BLOCK_GRAMS = 1024, 500_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,7 +96,7 @@ def intersections(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(own), len(other)), np.float32)
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
-    width = max(256, min(4096, (8 << 20) // max(1, len(sets))))
+    width = max(256, min(4096, (4 << 20) // max(1, len(sets))))
     for begin in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, (begin, begin + width))
         has = np.zeros((len(sets), min(width, int(code[-1]) + 1 - begin)), np.float32)

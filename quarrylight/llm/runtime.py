@@ -38,11 +38,15 @@ def crc32_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+BATCH_ROWS = 2_000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it already."""
+    """Send this package to the executors, unless their Python path has it already; and ask for smaller Arrow
+    batches than the default, as rows here are whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if any(Path(p).resolve() == root for p in [*known, os.getcwd()]):

@@ -7,6 +7,7 @@ after lower-casing A-Z.  Null texts read as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+HASH_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -29,6 +31,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _libc = None
+
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
@@ -50,9 +58,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
+
+    Spans are in order; they are hashed HASH_BYTES at a time, which bounds the tables of powers.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(int(np.searchsorted(ends, base + HASH_BYTES, side="right")), at + 1)
+        out[at:to] = _span_hashes(data[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base, lower)
+        at = to
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.multiply((_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data], up[: len(data)], out=sums[1:])
@@ -94,6 +114,14 @@ def text_slices(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYT
         to = min(max(to, at + 1), at + rows, len(column))
         yield TextSlice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: several workers share an executor's."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 @dataclass

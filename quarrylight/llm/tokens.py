@@ -15,7 +15,7 @@ import numpy as np
 
 from quarrylight.llm.textbytes import TextSlice, mix, span_hashes
 
-TABLE_LIMIT = 3_000_000  # distinct units kept for each process; beyond it the table starts afresh
+TABLE_LIMIT = 1_500_000  # distinct units kept for each process; beyond it the table starts afresh
 LONG_UNIT = 256
 
 SPACE, LETTER, DIGIT, MARK, COMPLEX = 0, 1, 2, 3, 4
@@ -56,7 +56,7 @@ class UnitEncoder:
 
     def _add(self, ids: list[int] | np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
