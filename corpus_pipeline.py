@@ -24,6 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
+    ship(spark)
     docs = docs.select(*COLUMNS)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).where(F.col("quality_score") >= KEEP_AT).select(*COLUMNS)
