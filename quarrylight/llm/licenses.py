@@ -110,7 +110,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold:
         lambda w: F.size(w) >= least,
     )
     none = F.array().cast("array<array<int>>")
-    base = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array(*places).alias("places"), F.when(F.arrays_overlap("words", _strings(prefix)), as_ranks).otherwise(none).alias("blocks"))
+    base = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), (F.array(*places) if places else F.array().cast("array<array<bigint>>")).alias("places"), F.when(F.arrays_overlap("words", _strings(prefix)), as_ranks).otherwise(none).alias("blocks"))
     base = written(base, "licenses")
 
     index_df = spark.createDataFrame(index, "rank int, notice int, notice_at int, notice_size int, need int")
@@ -126,7 +126,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold:
     found = checked.groupBy("row").agg(F.collect_set("label").alias("own"), F.max(share).alias("score"))
 
     all_places = F.flatten("places")
-    base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.col("places")[k]) > 0, F.lit(label)) for k, (label, _) in enumerate(split_phrases)]))))
+    named = [F.when(F.size(F.col("places")[k]) > 0, F.lit(label)) for k, (label, _) in enumerate(split_phrases)]
+    base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*named) if named else F.array().cast("array<string>"))))
     out = base.select("row", "doc_id", "n_words", F.size(all_places).cast("long").alias("n_base"), F.array_min(all_places).alias("first_word"), F.array_max(all_places).alias("last_word"), base_labels.alias("base"))
     out = out.join(found, "row", "left")
     return out.select(

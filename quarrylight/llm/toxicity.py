@@ -29,9 +29,10 @@ PREDICT_AT = 0.7
 SPAN_AT = 0.5
 CHUNK = 64
 
-EDGES = np.array([-3.0, -1.5, 1.5, 3.0, 4.0, 5.0, 6.5, 8.0, 10.0, 14.0])
+EDGES = np.array([-2.0, -1.0, 0.7, 1.5, 2.2, 3.0, 3.6, 4.2, 5.0, 6.0])  # of a word's log odds against those of all documents
 NEUTRAL = 2
-TOXIC_BIN = 6  # evidence of 5 standard errors and more
+TOXIC_BIN = 7
+SURE = 4.0  # standard errors that evidence must have
 PREFIXES = (3, 4, 5, 6, 7)
 
 
@@ -150,13 +151,15 @@ def fit_field(bins: np.ndarray, first: np.ndarray, tags: np.ndarray, rounds: int
 
 
 def _features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each document: 1, its largest marginal, the logarithm of one and its expected toxic tokens, and their share."""
+    """Of each document: 1, the logit of its largest marginal, and the logarithms of one and the tokens expected to
+    be toxic among those likelier so than not, and of one and all its tokens."""
     rows, sizes = len(first) - 1, np.diff(first)
-    total, top = np.zeros(rows), np.zeros(rows)
+    total, top = np.zeros(rows), np.full(rows, 1e-4)
     some = sizes > 0
     if some.any():
-        total[some], top[some] = np.add.reduceat(p, first[:-1][some]), np.maximum.reduceat(p, first[:-1][some])
-    return np.stack([np.ones(rows), top, np.log1p(total), total / np.maximum(sizes, 1)], 1)
+        total[some], top[some] = np.add.reduceat(np.where(p >= SPAN_AT, p, 0.0), first[:-1][some]), np.maximum.reduceat(p, first[:-1][some])
+    top = np.clip(top, 1e-4, 1 - 1e-4)
+    return np.stack([np.ones(rows), np.log(top / (1 - top)), np.log1p(total), np.log1p(sizes)], 1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -227,8 +230,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", trai
     # signed root of the likelihood ratio against the share of toxic documents
     ratio = F.when(bad > 0, bad * F.log(bad / (both * max(share, 1e-9)))).otherwise(0.0) + F.when(good > 0, good * F.log(good / (both * max(1 - share, 1e-9)))).otherwise(0.0)
     z = F.sqrt(2 * F.greatest(ratio, F.lit(0.0))) * F.when(bad > both * share, 1).otherwise(-1)
-    strong = counts.where(both >= 3).select("word", z.alias("z")).where((F.col("z") >= EDGES[2]) | (F.col("z") < EDGES[1]))
-    lexicon = strong.orderBy(F.desc(F.abs("z")), "word").limit(LEXICON).toPandas()  # LEXICON rows at most
+    odds = F.log((bad + 0.5) / (good + 0.5)) - float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    strong = counts.where(both >= 3).select("word", z.alias("sure"), odds.alias("z")).where((F.abs("sure") >= SURE) & ((F.col("z") >= EDGES[2]) | (F.col("z") < EDGES[1])))
+    lexicon = strong.orderBy(F.desc(F.abs("sure")), "word").limit(LEXICON).toPandas()  # LEXICON rows at most
     keys = lexicon["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     field = Field(keys[order], np.digitize(lexicon["z"].to_numpy(float), EDGES).astype(np.uint8)[order], np.zeros(0), np.zeros((2, 2)), np.zeros(4))
@@ -239,7 +243,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", trai
     sizes = np.concatenate([np.diff(f) for _, f in parts]) if parts else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     if not len(bins) or y.min() == y.max():
-        field.emission, field.transition, field.calibration = np.linspace(-3, 3, len(EDGES) + 1), np.array([[0.0, -3.0], [-1.0, 0.0]]), np.array([-4.0, 6.0, 0.0, 0.0])
+        field.emission, field.transition, field.calibration = np.linspace(-3, 3, len(EDGES) + 1), np.array([[0.0, -3.0], [-1.0, 0.0]]), np.array([-3.0, 0.5, 0.0, 0.0])
         return field
     tags = ((bins >= TOXIC_BIN) & (np.repeat(y, sizes) == 1)).astype(np.int64)
     field.emission, field.transition = fit_field(bins, first, tags)
