@@ -33,7 +33,7 @@ EDGES = np.array([-2.0, -1.0, 0.7, 1.5, 2.2, 3.0, 3.6, 4.2, 5.0, 6.0])  # of a w
 NEUTRAL = 2
 TOXIC_BIN = 7
 SURE = 4.0  # standard errors that evidence must have
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 
 
 def word_features(piece: TextSlice, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
