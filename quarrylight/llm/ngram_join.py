@@ -194,6 +194,10 @@ def find_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     return written(rows_.select("row", "id", F.coalesce("node", "row").alias("node"), F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "joined")
 
 
+def _first_of_groups(found: DataFrame) -> DataFrame:
+    return found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+
+
 def near_duplicate_texts(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """id, class_id (the least id of the linked group), n_links (rows linked directly) and kept, for each row.
 
@@ -201,16 +205,14 @@ def near_duplicate_texts(docs: DataFrame, id_column: str = "doc_id", **options)
     row that comes first by id is kept.  A null id comes last and, alone, is its own class, with a null id.
     """
     found = find_links(docs, id_column=id_column, **options)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    out = found.join(first, "root")
+    out = found.join(written(_first_of_groups(found), "firsts"), "root")  # written, so that the join can split a large group
     return out.select(F.col("id").alias(id_column), F.col("first.id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group left, the first by id."""
     found = find_links(docs, id_column=id_column, **options)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias("the_row"))
+    kept = _first_of_groups(found).select(F.col("first.row").alias("the_row"))
     return docs.withColumn("the_row", F.monotonically_increasing_id()).join(kept.hint("merge"), "the_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 

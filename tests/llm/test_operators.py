@@ -1,0 +1,448 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylight.llm import decontaminate, langid, licenses, ngram_join, packing, quality, simple8b, surrogates, tokens, toxicity, vectors
+from quarrylight.llm.components import connected_components, local_roots
+from quarrylight.llm.textbytes import text_slices, words_of
+
+DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(DOCUMENTS)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return tokens.encoder(tokens.default_path()).tokenizer
+
+
+def ids_of(tokenizer, text, end):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# --- token output ---
+
+
+def test_token_output(spark, odd_docs, no_docs, tokenizer, tmp_path):
+    simple8b.write_documents(odd_docs, str(tmp_path / "t"))
+    found = simple8b.read_documents(spark, str(tmp_path / "t"), with_ids=True).orderBy("start").collect()
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert len(found) == len(rows) and [r["doc_id"] for r in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    want = Counter((d, tuple(ids_of(tokenizer, t, 2))) for d, t in rows)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in found) == want
+    start = 0
+    for r in found:
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(r["ids"]), crc(r["ids"]))
+        start += r["n_tokens"]
+    simple8b.write_documents(no_docs, str(tmp_path / "e"))
+    assert simple8b.read_documents(spark, str(tmp_path / "e")).count() == 0
+
+
+# --- packing ---
+
+
+def check_packing(found, rows, tokenizer, capacity):
+    by_sequence = defaultdict(list)
+    for r in found:
+        by_sequence[r["sequence_id"]].append(r)
+    for pieces in by_sequence.values():
+        pieces.sort(key=lambda r: r["offset"])
+        at = 0
+        for r in pieces:
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity
+    want = Counter()
+    for d, t in rows:
+        ids = ids_of(tokenizer, t, 0)
+        for k in range(0, len(ids), capacity):
+            want[d, k // capacity, k, min(capacity, len(ids) - k), crc(ids[k : k + capacity])] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    total = sum(r["length"] for r in found)
+    return len(by_sequence), -(-total // capacity)
+
+
+def test_packing(odd_docs, no_docs, docs, tokenizer):
+    check_packing(packing.pack_documents(odd_docs).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()], tokenizer, 2048)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    used, least = check_packing(packing.pack_documents(docs, island_size=40).collect(), rows, tokenizer, 2048)
+    assert used <= least + 2
+    assert packing.pack_documents(no_docs).count() == 0
+
+
+def test_genetic_steps():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 1000, 800)
+    bins = packing.evolve(lengths, 2048, 3)
+    fill = np.bincount(bins, lengths)
+    assert fill.max() <= 2048 and len(fill) <= -(-lengths.sum() // 2048) + 1
+    child = packing.crossover(lengths, 2048, bins, packing.evolve(lengths, 2048, 4), rng)
+    assert np.bincount(child, lengths).max() <= 2048 and len(child) == 800
+    moved = packing.immigrate(lengths, 2048, bins, [[int(lengths[0]), int(lengths[1])], [5000]])
+    assert np.bincount(moved, lengths).max() <= 2048
+    assert packing.fitness(np.array([1, 1]), np.array([0, 0]), 4) > packing.fitness(np.array([1, 1]), np.array([0, 1]), 4)
+
+
+# --- decontamination ---
+
+
+def plain_hits(text, items, n=10):
+    w, hit, named = words_of(text), set(), set()
+    for name, item in items:
+        i = words_of(item)
+        for window in {tuple(i[k : k + n]) for k in range(max(1, len(i) - n + 1))} if i else ():
+            for k in range(len(w) - len(window) + 1):
+                if tuple(w[k : k + len(window)]) == window:
+                    hit.update(range(k, k + len(window)))
+                    if name is not None:
+                        named.add(str(name))
+    return len(w), len(hit), sorted(named)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination(spark, odd_docs, no_docs, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    items = [(10, "Quick brown fox jumps over the lazy dog and runs far, away!"), (9, "fox JUMPS"), (7, None), (8, ""), (None, "stray text"), (10, "fox jumps"), (3, "iota kappa lambda mu alpha beta gamma delta epsilon zeta eta"), (2, "not in any text")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.find_contamination(odd_docs, bench).count() == odd_docs.count()  # with a clashing column
+    found = decontaminate.find_contamination(odd_docs, bench, keep=["doc_id", "text"]).collect()
+    assert len(found) == odd_docs.count()
+    for r in found:
+        assert (r["n_words"], r["n_hit"], r["items"]) == plain_hits(r["text"], items)
+    row = decontaminate.digest(decontaminate.find_contamination(odd_docs, bench, keep=["doc_id"])).where("doc_id = 1").first()
+    assert row["contaminated"] and row["items_sha256"] == hashlib.sha256(b"10,9").hexdigest() and row["n_items"] == 2
+    left = decontaminate.remove_contamination(odd_docs, bench)
+    assert left.columns == odd_docs.columns
+    assert all(plain_hits(r["text"], items)[1] == 0 for r in left.collect())
+    kept = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert kept[9] == "Released under the MIT License." and kept[3] is None and kept[1] == "the  from here today"
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert {r["n_hit"] for r in decontaminate.find_contamination(odd_docs, empty).collect()} == {0}
+    assert decontaminate.find_contamination(no_docs, bench).count() == 0
+    assert [r["n_words"] for r in decontaminate.find_contamination(odd_docs, empty).where("doc_id = 8").collect()] == [1]
+
+
+def test_fm_index_against_plain_search():
+    rng = np.random.default_rng(2)
+    for n, top in ((1, 3), (60, 2), (500, 2), (3000, 6)):
+        text = rng.integers(0, top + 1, n)
+        index = decontaminate.FMIndex(text, top)
+        assert sorted(index.locate(np.arange(n + 1)).tolist()) == list(range(n + 1))
+        phrases = rng.integers(1, top + 1, (40, 4))
+        lengths = rng.integers(1, 5, 40)
+        low, high = index.search(phrases, lengths)
+        for p, k, a, b in zip(phrases, lengths, low, high):
+            own = p[4 - k :]
+            want = [i for i in range(n - k + 1) if (text[i : i + k] == own).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+# --- licenses ---
+
+
+def test_licenses(spark, odd_docs, no_docs):
+    texts = [
+        "Code.\nReleased under the MIT License. Under The MIT license!", "licensed under APACHE license version 2", "cc-by-nc cc by nc", "This work is licensed under the GNU General Public License",
+        "released the mit license", "x " * 200 + "this work is licensed under the gnu general public license version 3 " + "y " * 200, "under the mit", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = {x["doc_id"]: x for x in licenses.scan_licenses(df).collect()}
+    assert (r[0]["n_base"], r[0]["first_word"], r[0]["last_word"], r[0]["base_labels"], r[0]["labels"]) == (2, 2, 6, "mit", "mit")
+    assert r[1]["base_labels"] == "apache-2" and r[2]["n_base"] == 2 and r[2]["first_word"] == 0 and r[2]["last_word"] == 3
+    assert r[3]["base_labels"] == "" and r[3]["labels"] == "gpl-3" and r[3]["score"] == pytest.approx(10 / 12)
+    assert r[4]["labels"] == "mit" and r[4]["n_base"] == 0 and r[5]["labels"] == "gpl-3" and r[5]["score"] == 1.0
+    assert r[6]["labels"] == "" and r[7]["n_words"] == 0 and r[7]["first_word"] is None
+    assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).count() == 0
+    assert not any(k in licenses.scan_licenses(df)._jdf.queryExecution().toString() for k in ("Python", "Pandas", "Arrow"))
+
+
+def test_prefix_join_loses_nothing(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    notices = tuple((f"n{k}", " ".join(rng.choice(vocabulary, rng.integers(3, 9), replace=False))) for k in range(8))
+    texts = ["\n".join(" ".join(rng.choice(vocabulary, rng.integers(1, 14))) for _ in range(5)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.5, 0.8, 1.0):
+        got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan_licenses(df, (), notices, threshold).collect()}
+        for i, t in enumerate(texts):
+            share = {}
+            for line in t.split("\n"):
+                for label, notice in notices:
+                    own = set(words_of(notice))
+                    s = len(own & set(words_of(line))) / len(own)
+                    if s >= threshold - 1e-9:
+                        share[label] = max(share.get(label, 0), s)
+            assert got[i] == (",".join(sorted(share)), round(max(share.values(), default=0), 9))
+
+
+# --- near copies ---
+
+
+def plain_links(texts, threshold=0.8, n=5):
+    sets = []
+    for t in texts:
+        w = words_of(t)
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    links = [[j for j in range(len(sets)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9] for i in range(len(sets))]
+    root = list(range(len(sets)))
+    for _ in sets:
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(sets))]
+    return [len(x) for x in links], root
+
+
+def near_texts():
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    out = []
+    for _ in range(12):
+        base = list(rng.choice(vocabulary, 120))
+        for _ in range(rng.integers(1, 12)):
+            copy = list(base)
+            for k in rng.integers(0, 120, rng.integers(0, 5)):
+                copy[k] = str(rng.choice(vocabulary))
+            out.append(" ".join(copy))
+    return [*out, None, "", "one two", "one two", "...", "one two three"]
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_ngram_join(spark, odd_docs, no_docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", block)
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, root = plain_links(texts)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"], r["kept"]) for r in ngram_join.near_duplicate_texts(df).collect()}
+    assert got == {i: (links[i], root[i], root[i] == i) for i in range(len(texts))}
+    left = ngram_join.drop_near_duplicates(df)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
+    odd = ngram_join.near_duplicate_texts(odd_docs).collect()
+    assert len(odd) == odd_docs.count() and sum(r["kept"] for r in odd if r["doc_id"] == 1) == 1
+    assert {r["doc_id"]: r["class_id"] for r in odd}[6] == 5
+    kept = ngram_join.drop_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("doc_id IN (1, 6)").count() == 1
+    assert ngram_join.near_duplicate_texts(no_docs).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for s, recall, rows in ((0.8, 0.999, 8), (0.5, 0.9, 4), (0.9, 0.99, 12)):
+        b = ngram_join.bands_for(s, recall, rows)
+        assert 1 - (1 - s**rows) ** b >= recall > 1 - (1 - s**rows) ** (b - 1)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [tuple(map(int, rng.integers(200, 300, 2))) for _ in range(60)]
+    root = {}
+    for a, b in pairs:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(80):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    real = {x for p in pairs if p[0] != p[1] for x in p}
+    assert set(found) == real
+    groups = lambda m: sorted(sorted(k for k in real if m[k] == v) for v in {m[k] for k in real})
+    assert groups(found) == groups(root)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert local_roots(5, np.array([3, 4]), np.array([4, 1])).tolist() == [0, 1, 2, 1, 1]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(30):
+        base = rng.standard_normal(16)
+        for _ in range(rng.integers(1, 9)):
+            rows.append(((base + 0.03 * rng.standard_normal(16)).tolist(), int(k % 3)))
+    rows += [(rows[0][0], rows[0][1]), (rows[0][0], 9), (None, 1), ([0.0] * 16, 1), ([float("nan")] * 16, 1), ([1.0, None] * 8, 1), (rows[1][0], None), ([1.0, 2.0], 1), ([1.0, 2.0], 1), ([], 1), ([2.0, 4.0], 1)]
+    df = spark.createDataFrame([(i, v, label, "clash") for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int, node string")
+    good = [v is not None and len(v) > 0 and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for v, label in rows]
+    links = {i: [] for i in range(len(rows))}
+    for i, (v, a) in enumerate(rows):
+        for j, (w, b) in enumerate(rows):
+            if i != j and good[i] and good[j] and a == b and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+                links[i].append(j)
+    root = {i: i for i in links}
+    for _ in links:
+        root = {i: min([root[i], *(root[j] for j in links[i])]) for i in links}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicate_vectors(df).collect()}
+    assert got == {i: (len(links[i]), root[i], root[i] == i) for i in links}
+    assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+# --- learned operators ---
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score))
+    return (rank[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
+
+
+LABELLED = "/root/testdata/sf0.1"
+
+
+def test_toxicity(spark, odd_docs, no_docs):
+    docs, labels = spark.read.parquet(f"{LABELLED}/documents.parquet"), spark.read.parquet(f"{LABELLED}/labels.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    field = toxicity.fit_toxicity(docs, labels.where(rest != 1))
+    found = toxicity.score_toxicity(docs.where(rest == 1), field, ["doc_id"]).join(labels, "doc_id").toPandas()
+    y = found["toxic"].to_numpy()
+    assert auc(found["score"].to_numpy(), y) > 0.93 and found["predicted"][y == 0].mean() < 0.02
+    odd = toxicity.score_toxicity(odd_docs, field, ["doc_id", "score", "k0"])
+    assert odd.count() == odd_docs.count() and odd.where("predicted = 1").isEmpty()
+    text = "You are a pathetic idiot and a stupid worthless moron, idiot. Fine day."
+    r = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), field, ["doc_id"]).first()
+    assert r["predicted"] == 1 and any("idiot" in text[s["start"] : s["end"]] for s in r["spans"])
+    nothing = toxicity.fit_toxicity(docs, labels.limit(0))
+    assert toxicity.score_toxicity(odd_docs, nothing, ["doc_id"]).where("predicted = 1").isEmpty()
+    assert toxicity.score_toxicity(no_docs, nothing, ["doc_id"]).count() == 0
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(9)
+    emission, transition = rng.standard_normal(11), np.array([[0.0, -1.0], [0.3, 0.8]])
+    first = np.array([0, 5, 5, 12])
+    bins = rng.integers(0, 11, 12)
+    got = toxicity.marginals(bins, first, emission, transition)
+    for a, b in zip(first[:-1], first[1:]):
+        n, total, on = b - a, 0.0, np.zeros(b - a)
+        for path in range(1 << n):
+            tags = [(path >> k) & 1 for k in range(n)]
+            w = np.exp(sum(emission[bins[a + k]] * t for k, t in enumerate(tags)) + sum(transition[p, t] for p, t in zip([0, *tags[:-1]], tags)))
+            total += w
+            on += w * np.array(tags)
+        assert got[a:b] == pytest.approx(on / total)
+    long = rng.integers(0, 11, 1000)  # over several chunks: the same as one step at a time
+    p = toxicity.marginals(long, np.array([0, 1000]), emission, transition)
+    t, e = np.exp(transition), np.exp(emission)[long]
+    f, b = np.zeros((1000, 2)), np.ones((1000, 2))
+    x = np.array([1.0, 0.0])
+    for k in range(1000):
+        x = (x @ t) * [1, e[k]]
+        x /= x.sum()
+        f[k] = x
+    for k in range(998, -1, -1):
+        b[k] = t @ (b[k + 1] * [1, e[k + 1]])
+        b[k] /= b[k].sum()
+    assert p == pytest.approx((f * b)[:, 1] / (f * b).sum(1))
+
+
+def test_language(spark, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    langs, prototypes = langid.fit_prototypes(docs.where(rest != 0), 3000)
+    assert langs == ["de", "en", "es", "fr"]
+    found = langid.predict_language(docs.where(rest == 0), langs, prototypes, ["lang"]).toPandas()
+    assert (found["lang"] == found["lang_pred"]).mean() > 0.98 and found["score"].between(0, 1).all()
+    odd = langid.predict_language(odd_docs, langs, prototypes, ["doc_id", "score", "k0"])
+    und = {r["doc_id"] for r in odd.where("lang_pred = 'und'").collect()}
+    assert odd.count() == odd_docs.count() and und == {3, 4, 7}
+    assert langid.predict_language(odd_docs, *langid.fit_prototypes(no_docs), ["doc_id"]).where("lang_pred <> 'und'").isEmpty()
+    assert langid.predict_language(no_docs, langs, prototypes, ["doc_id"]).count() == 0
+
+
+def test_bundle_against_loops():
+    texts = ["ab Çd", "x", "12!", "ab ab"]
+    got, has = langid.bundle(texts, 32)
+    table = langid._vectors[32]
+    for text, v in zip(texts, got):
+        codes = [ord(c.lower()) if c.isalpha() else 0 for c in f" {text} "]
+        codes = [c for k, c in enumerate(codes) if c or k == 0 or codes[k - 1]]
+        want = np.zeros(32)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b:
+                want += np.roll(table.letter(a), 2).astype(int) * np.roll(table.letter(b), 1) * table.letter(c)
+        assert v.tolist() == want.tolist()
+    assert has.tolist() == [True, True, False, True]
+
+
+def test_quality(spark, odd_docs, no_docs):
+    docs, labels = spark.read.parquet(f"{LABELLED}/documents.parquet"), spark.read.parquet(f"{LABELLED}/labels.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = quality.fit_quality(docs, labels.where(rest != 1))
+    found = quality.score_quality(docs.where(rest == 1), model).join(labels, "doc_id").toPandas()
+    y = found["quality"].to_numpy()
+    assert auc(found["quality_score"].to_numpy(), y) > 0.98
+    assert (found["quality_score"] >= quality.KEEP_AT)[y == 1].mean() > 0.99
+    odd = quality.score_quality(odd_docs, model)
+    assert odd.count() == odd_docs.count() and odd.columns[: len(odd_docs.columns)] == odd_docs.columns
+    nothing = quality.fit_quality(no_docs, labels)
+    assert quality.score_quality(odd_docs, nothing).where(F.col("quality_score") < quality.KEEP_AT).isEmpty()
+
+
+def test_views_hand_on_what_they_are_sure_of():
+    rng = np.random.default_rng(10)
+    y = rng.integers(0, 2, 600)
+    text = np.stack([y + 0.1 * rng.standard_normal(600), rng.standard_normal(600)], 1)
+    meta = np.stack([y * 5.0, rng.integers(0, 9, 600).astype(float), rng.standard_normal(600)], 1)
+    labels = np.where(np.arange(600) < 60, y, -1)
+    model = quality.co_train(text, meta, labels)
+    both, a, b = model.score(text, meta)
+    assert auc(both, y) > 0.99 and auc(a, y) > 0.99 and auc(b, y) > 0.99
+
+
+# --- surrogates ---
+
+
+def test_surrogates(spark, odd_docs, no_docs):
+    texts = [
+        "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (212) 555-0187 or 212-555-0187.", "Card 4111 1111 1111 1111, host 10.1.2.3, SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00.",
+        'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"', "Mr. John Smith met Frau Müller; Mr. Smith left. Госпожа Иванова.", "Version 2.0 of 2024-01-05 costs 100.", "Mail ann.lee@mail.example.com", None, "",
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, entities_ string")
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(df, "key").collect()}
+    for i, t in enumerate(texts):
+        for a, b, _, _ in surrogates.detect(t or ""):
+            assert t[a:b] not in got[i]["text"]
+    a = [x for x in surrogates.detect(got[0]["text"])]
+    assert [x[2] for x in a] == ["email", "email", "phone", "phone"] and a[0][3] == a[1][3] and a[2][3] == a[3][3]
+    assert got[5]["text"] == "Mail " + got[0]["text"][a[0][0] : a[0][1]] and got[0]["text"][a[1][0] : a[1][1]].isupper()
+    card = next(x for x in surrogates.detect(got[1]["text"]) if x[2] == "card")
+    assert surrogates.luhn(card[3]) and got[1]["entities"] == ["card", "ipv4", "ssn", "iban"]
+    names = {x[2]: x[3] for x in surrogates.detect(got[3]["text"])}
+    surnames = [x[3] for x in surrogates.detect(got[3]["text"]) if x[2] == "surname"]
+    assert names["given"].startswith("m|") and surnames[0] == surnames[2] and len(set(surnames)) == 3 and any("а" <= c <= "я" for c in surnames[3])
+    assert got[4]["text"] == texts[4] and got[6]["text"] is None and got[7]["text"] == "" and got[4]["entities"] == []
+    other = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, "other").collect()}
+    assert other[0] != got[0]["text"]
+    odd = surrogates.replace_entities(odd_docs, "key")
+    assert sorted(map(str, (r["text"] for r in odd.collect()))) == sorted(map(str, (r["text"] for r in odd_docs.collect())))
+    assert surrogates.replace_entities(no_docs).count() == 0
+
+
+def test_collisions_are_drawn_again(spark):
+    names = [f"Mr. {chr(65 + a)}{'abcdefghij'[b]}o Q{'abcdefghij'[b]}{chr(97 + a)}" for a in range(8) for b in range(10)]
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    entities = surrogates.find_entities(df)
+    rows = surrogates.assign_surrogates(entities, "key").collect()
+    for kind in ("given", "surname"):
+        new = [r["new"] for r in rows if r["kind"] == kind]
+        assert len(new) == 80 and len(set(new)) == len(new) and not set(new) & {r["form"] for r in rows}
+    assert max(r["attempt"] for r in rows) > 0
+    texts = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, "key").collect()}
+    assert len(set(texts.values())) == len(texts)
+
+
+def test_slices_of_ops_agree():
+    texts = near_texts()
+    whole = next(text_slices(pa.array(texts)))
+    grams, first, _, sums = ngram_join.gram_hashes(whole, 5)
+    for piece in text_slices(pa.array(texts), 1):
+        g, f, _, s = ngram_join.gram_hashes(piece, 5)
+        own = slice(piece.first, piece.first + len(piece))
+        assert g.tolist() == grams[first[own.start] : first[own.stop]].tolist() and (s == sums[:, own]).all()
