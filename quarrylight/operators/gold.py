@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalars import COMPLETION, duration_band, engagement_profile, is_consumption, masked, month, pseudonym, ratio
@@ -55,9 +54,9 @@ def consumption(interactions: DataFrame, correspondence: DataFrame) -> DataFrame
 def fact_recommendation(recommendations: DataFrame, correspondence: DataFrame, consumed: DataFrame, key: str) -> DataFrame:
     """``geracao_vigente``: of the user's latest generation.  Converted: consumed at any time."""
     mapped = recommendations.join(content_map(correspondence, RECOMMENDER_SOURCE), "conteudo_id")
-    latest = F.max("data_geracao").over(W.partitionBy("usuario_id"))
+    latest = mapped.groupBy("usuario_id").agg(F.max("data_geracao").alias("ultima_geracao"))
     no = F.lit(False)
-    return mapped.withColumn("vigente", F.col("data_geracao") == latest).join(consumed, ["usuario_id", "conteudo_mestre_id"], "left").select(
+    return mapped.join(latest, "usuario_id").withColumn("vigente", F.col("data_geracao") == F.col("ultima_geracao")).join(consumed, ["usuario_id", "conteudo_mestre_id"], "left").select(
         "recomendacao_id", pseudonym("usuario_id", key).alias("usuario_chave"), "conteudo_mestre_id", F.col("conteudo_id").alias("conteudo_id_origem"), "posicao", "pontuacao", "status", "data_geracao",
         F.col("vigente").alias("geracao_vigente"), F.col("primeiro_consumo").isNotNull().alias("convertida"), F.coalesce(F.col("ultimo_consumo") > F.col("data_geracao"), no).alias("convertida_apos_geracao"), F.coalesce("concluiu", no).alias("concluida"),
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalars import between_numbers, blank
@@ -67,11 +66,22 @@ def classify(df: DataFrame, contract: Contract, contents: DataFrame | None = Non
         df = df.join(users.select(F.col("usuario_id"), F.col("usuario_id").alias("usuario_ref")).distinct(), "usuario_id", "left")
         rule = rule.when(F.coalesce("usuario_ref", F.lit(-1)) < 0, NO_USER)
     df = df.withColumn("regra_violada", rule).drop("conteudo_ref", "usuario_ref")
-    # only rows that pass all other rules compete for their key; the rest spread by their place
-    passed = F.col("regra_violada").isNull()
-    apart = F.when(passed, F.lit(None).cast("string")).otherwise(F.col(ordinal).cast("string"))
-    turn = F.row_number().over(W.partitionBy(*contract.key, apart).orderBy(ordinal))
-    return df.withColumn("regra_violada", F.coalesce("regra_violada", F.when(turn > 1, DUPLICATE)))
+    # only rows that pass all other rules compete for their key
+    passed = df.where("regra_violada IS NULL").groupBy(*contract.key).agg(F.min(ordinal).alias("primeiro"))
+    df = df.join(passed, list(contract.key), "left").select(*df.columns, "primeiro")
+    return df.withColumn("regra_violada", F.coalesce("regra_violada", F.when(F.col(ordinal) > F.col("primeiro"), DUPLICATE))).drop("primeiro")
+
+
+def with_key_stats(df: DataFrame, key: list[str], ordinal: str | None = None) -> DataFrame:
+    """``df`` with ``vezes``, how many rows have its key, and ``primeiro``, the least ordinal among them; null keys are equal.
+
+    Counts are partial before the shuffle and the join can be split, so a key with a large share of all rows
+    doesn't meet in one task, as it would in a window.
+    """
+    stats = [F.count("*").alias("vezes"), *([F.min(ordinal).alias("primeiro")] if ordinal else [])]
+    found = df.groupBy(*key).agg(*stats)
+    found = found.select(*[F.col(k).alias(f"chave_{k}") for k in key], *found.columns[len(key) :])
+    return df.join(found, [F.col(k).eqNullSafe(F.col(f"chave_{k}")) for k in key]).drop(*[f"chave_{k}" for k in key])
 
 
 def keep_first(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -82,8 +92,8 @@ def keep_first(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 
 def duplicate_flags(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     """``repetido``: a row after the first of its key; ``chave_duplicada``: any row of a repeated key."""
-    w = W.partitionBy(*key)
-    return df.withColumn("repetido", F.row_number().over(w.orderBy(ordinal)) > 1).withColumn("chave_duplicada", F.count("*").over(w) > 1)
+    found = with_key_stats(df, key, ordinal)
+    return found.withColumns({"repetido": F.col(ordinal) > F.col("primeiro"), "chave_duplicada": F.col("vezes") > 1}).drop("vezes", "primeiro")
 
 
 def route(df: DataFrame, column: str, branches: dict[str, str], default: str = "outros") -> dict[str, DataFrame]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalars import candidate_key, match_key, normalised
@@ -120,7 +119,3 @@ def correspondence(golden: DataFrame, origins: DataFrame, prior: DataFrame | Non
     rows = members(golden, origins).join(golden.select("chave", "conteudo_mestre_id"), "chave").select("fonte", "id_origem", "conteudo_mestre_id", "regra", stamp.alias("primeira_vez_em"), stamp.alias("atualizado_em"))
     return rows if prior is None else upsert(prior, rows, ["fonte", "id_origem"], ("primeira_vez_em",))
 
-
-def group_sizes(origins: DataFrame) -> DataFrame:
-    w = W.partitionBy("chave")
-    return keyed(origins).withColumn("no_grupo", F.count("*").over(w))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.scalars import COMPLETION, RATING, any_of, json_list
+from quarrylight.operators.layers import with_key_stats
 from quarrylight.sources.contracts import CATALOGUE, COMMENT, CONTRACTS, INTERACTION, Contract
 
 SAMPLE = 5
@@ -77,8 +77,8 @@ def validity(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
 
 def uniqueness(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
     key = CONTRACTS[source].key
-    df = batch.sources[source].withColumn("vez", F.row_number().over(W.partitionBy(*key).orderBy("ordinal")))
-    return df, {f"chave duplicada ({', '.join(key)})": F.col("vez") > 1}
+    df = with_key_stats(batch.sources[source], list(key), "ordinal")
+    return df, {f"chave duplicada ({', '.join(key)})": F.col("ordinal") > F.col("primeiro")}
 
 
 def references(batch: Batch, source: str) -> tuple[DataFrame, Masks]:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.scalars import between_numbers, blank, capitalised, iso_date, iso_datetime, positive_id, trimmed
+from quarrylight.operators.layers import with_key_stats
 from quarrylight.sources.contracts import INTERACTIONS, KINDS, LEVELS, Contract
 
 VALID, INVALID, INCOMPLETE, REPEATED = "valido", "invalido", "incompleto", "duplicado"
@@ -42,7 +42,7 @@ def classified(df: DataFrame, source: str, required: list[str], key: list[str])
         return df.withColumns({"situacao": F.lit(INVALID), "motivos": F.array(F.lit("Origem não reconhecida."))})
     absent = F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in required]))
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), F.lit(reason)) for reason, good in rules]))
-    df = df.withColumns({"ausentes": absent, "falhas": failed, "vezes": F.count("*").over(W.partitionBy(*key))})
+    df = with_key_stats(df.withColumns({"ausentes": absent, "falhas": failed}), key)
     lacks, fails = F.size("ausentes") > 0, F.size("falhas") > 0
     state = F.when(lacks, INCOMPLETE).when(fails, INVALID).when(F.col("vezes") > 1, REPEATED).otherwise(VALID)
     why = F.when(lacks, F.array(F.concat(F.lit("Campos obrigatórios ausentes: "), F.array_join("ausentes", ", ")))).when(fails, F.col("falhas"))

@@ -103,15 +103,16 @@ def read_table(spark: SparkSession, name: str, columns: list[str], jdbc: dict[st
     return df.select(*columns)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """A Parquet scan with projection and a predicate that reach the files: partition pruning and pushed filters."""
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet scan with projection and a predicate that reach the files: partition pruning and pushed filters.
+    A known schema saves the job that would infer it."""
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     df = df if where is None else df.where(where)
     return df.select(*columns) if columns else df
 
 
-def read_month(spark: SparkSession, path: str, month: str, columns: list[str]) -> DataFrame:
-    return read_parquet(spark, path, columns, F.col("ano_mes") == month)
+def read_month(spark: SparkSession, path: str, month: str, columns: list[str], schema: T.StructType | None = None) -> DataFrame:
+    return read_parquet(spark, path, columns, F.col("ano_mes") == month, schema)
 
 
 def read_csv_prefix(spark: SparkSession, path: str, separator: str, column: str, prefix: str, columns: list[str]) -> DataFrame:
