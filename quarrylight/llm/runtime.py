@@ -49,7 +49,7 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if any(Path(p).resolve() == root for p in [*known, os.getcwd()]):
+    if any(Path(p).resolve() == root for p in known):
         return
     app = spark.sparkContext.applicationId
     if app not in _shipped:
