@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalars import COMPLETION, LIKE, clamped, cosine_distance
+from quarrylight.session import ship
 
 VIEWS = ("visualização",)
 POSITIVE, STABLE, NEGATIVE = "Positivo", "Estável", "Negativo"
@@ -69,9 +74,96 @@ def top_n(results: DataFrame, n: int = 10) -> DataFrame:
     return results.where(F.col("status") != NEGATIVE).withColumn("posicao", place).where(F.col("posicao") <= n)
 
 
+BLOCK_BYTES = 32 << 20  # of content vectors that a task holds at a time
+
+
+def content_blocks(embeddings: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the contents, in blocks of bounded size; a zero vector stays zero."""
+    ids, rows = [], []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(rows, np.float64)
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.array(ids), x / np.where(size > 0, size, 1.0)
+
+    for r in embeddings.select("conteudo_id", "embedding").toLocalIterator():
+        ids.append(r["conteudo_id"])
+        rows.append(r["embedding"])
+        if len(rows) * len(rows[0]) * 8 >= block_bytes:
+            yield block()
+            ids, rows = [], []
+    if rows:
+        yield block()
+
+
+def _likeness(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Clamped cosines of the users' profiles with a block; 0 without a profile."""
+    out = np.zeros((len(column), len(vectors)))
+    have = np.flatnonzero(np.asarray(column.is_valid()))
+    if len(have):
+        x = np.asarray(column.drop_null().flatten(), np.float64).reshape(len(have), -1)
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        out[have] = np.clip(x / np.where(size > 0, size, 1.0) @ vectors.T, 0.0, 1.0)
+    return out
+
+
+def best_of_blocks(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70, minimum: float = 4, views: tuple[str, ...] = VIEWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``top_n(scored(similarities(...)))`` gives, without a row for each user and content.
+
+    Users' rows pass over the blocks of contents twice: for the ranges that scores are scaled by, and
+    for the best ``n`` so far.  What is kept of a user doesn't grow with the contents.
+    """
+    done = interactions.where((F.col("tipo_interacao") == COMPLETION) | (F.col("percentual_conclusao") >= 100)).groupBy("usuario_id").agg(F.collect_set("conteudo_id").alias("feitos"))
+    state = users.select("usuario_id").distinct().join(profiles(interactions, embeddings, positive_pairs, minimum, views), "usuario_id", "left").join(done, "usuario_id", "left")
+    lows, highs = F.array(F.lit(2.0), F.lit(2.0)), F.array(F.lit(-1.0), F.lit(-1.0))
+    none = F.array().cast("array<struct<pontuacao:double,conteudo_id:int,i_vis:double,i_cur:double>>")
+    state = state.select("usuario_id", "vis", "cur", F.coalesce("feitos", F.array().cast("array<int>")).alias("feitos"), lows.alias("menor"), highs.alias("maior"), none.alias("melhores"))
+    spark, schema = users.sparkSession, state.schema
+    ship(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in content_blocks(embeddings, block_bytes)]
+
+    for shared in blocks:
+
+        def ranges(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            _, vectors = shared.value
+            for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
+                both = [_likeness(batch.column(c), vectors) for c in (1, 2)]
+                low = np.minimum(np.asarray(batch.column(4).flatten()).reshape(-1, 2), np.stack([x.min(1) for x in both], 1))
+                high = np.maximum(np.asarray(batch.column(5).flatten()).reshape(-1, 2), np.stack([x.max(1) for x in both], 1))
+                ends = pa.array(np.arange(0, 2 * len(batch) + 1, 2, dtype=np.int32))
+                pair = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pair(low), pair(high), batch.column(6)], names=batch.schema.names)
+
+        state = state.mapInArrow(ranges, schema)
+
+    for shared in blocks:
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
+                low, high = (np.asarray(batch.column(c).flatten()).reshape(-1, 2) for c in (4, 5))
+                width = high - low
+                v, c = ((_likeness(batch.column(k + 1), vectors) - low[:, k : k + 1]) / np.where(width[:, k : k + 1] > 0, width[:, k : k + 1], 1.0) * (width[:, k : k + 1] > 0) for k in (0, 1))
+                score = np.floor((v + c) / 2 * 100 * 100 + 0.5 + 1e-9) / 100
+                kept = []
+                for r, (found, old) in enumerate(zip(batch.column(3), batch.column(6))):
+                    good = np.flatnonzero((score[r] > negative) & ~np.isin(ids, np.array(found.as_py(), ids.dtype)))
+                    top = good[np.lexsort((ids[good], -score[r, good]))[:n]]
+                    new = [{"pontuacao": float(score[r, k]), "conteudo_id": int(ids[k]), "i_vis": float(v[r, k]), "i_cur": float(c[r, k])} for k in top]
+                    kept.append(sorted([*old.as_py(), *new], key=lambda x: (-x["pontuacao"], x["conteudo_id"]))[:n])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(kept, batch.schema.field(6).type)], names=batch.schema.names)
+
+        state = state.mapInArrow(best, schema)
+    rows = state.select("usuario_id", F.posexplode("melhores").alias("at", "m"))
+    return rows.select(
+        "usuario_id", F.col("m.conteudo_id").alias("conteudo_id"), F.col("m.pontuacao").alias("pontuacao"), F.round("m.i_vis", 4).alias("i_vis"), F.round("m.i_cur", 4).alias("i_cur"), F.lit(1.0).alias("i_conc"),
+        status(F.col("m.pontuacao"), F.lit(1.0), negative, positive).alias("status"), (F.col("at") + 1).cast("int").alias("posicao"),
+    )
+
+
 def generate(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, at, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70) -> DataFrame:
     """Recommendations of all users with one generation time."""
-    return top_n(scored(similarities(users, interactions, embeddings, positive_pairs), negative, positive), n).withColumn("data_geracao", F.lit(at).cast("timestamp_ntz"))
+    return best_of_blocks(users, interactions, embeddings, n, positive_pairs, negative, positive).withColumn("data_geracao", F.lit(at).cast("timestamp_ntz"))
 
 
 def latest_run(recommendations: DataFrame) -> DataFrame:

@@ -633,7 +633,7 @@ def recommend_scores(e: Entities) -> DataFrame:
 
 @query(_recommend_sql("SELECT usuario_id, conteudo_id, pontuacao, i_vis, i_cur, i_conc, status, posicao FROM (SELECT *, CAST(row_number() OVER (PARTITION BY usuario_id ORDER BY pontuacao DESC, conteudo_id) AS INTEGER) AS posicao FROM final WHERE status <> 'Negativo') WHERE posicao <= 10"))
 def recommend_topn(e: Entities) -> DataFrame:
-    return recommend.top_n(_scores(e))
+    return recommend.best_of_blocks(e.interactions.select("usuario_id").distinct(), e.interactions, e.embeddings, positive_pairs=e.comments.where("avaliacao >= 4"))
 
 
 @query("""SELECT conteudo_id, trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g')) AS texto, sha256(trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g'))) AS texto_hash, conteudo_id % 2 = 0 AND conteudo_id % 3 <> 0 AS reusar FROM catalogo""", "catalogo")

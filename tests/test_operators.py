@@ -145,6 +145,22 @@ def test_min_max_and_top_n(spark):
     assert [r["conteudo_id"] for r in recommend.top_n(rows, 2).orderBy("posicao").collect()] == [3, 1]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+def test_blocks_equal_the_plain_recommender(spark, block_bytes):
+    import random
+
+    r = random.Random(3)
+    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)] if i else [0.0] * 6) for i in range(40)], "conteudo_id int, embedding array<double>")
+    kinds = ["visualização", "curtida", "conclusão", "início"]
+    acts = interactions(spark, [(r.randrange(6), r.randrange(45), r.choice(kinds), T0, 1.0, 10.0, r.choice([None, 5.0])) for _ in range(80)])
+    users = spark.createDataFrame([(i,) for i in range(8)], "usuario_id int")
+    plain = recommend.top_n(recommend.scored(recommend.similarities(users, acts, vectors)), 7)
+    key = lambda df: sorted((x["usuario_id"], x["posicao"], x["conteudo_id"], round(x["pontuacao"], 2), x["status"]) for x in df.collect())
+    found = recommend.best_of_blocks(users, acts, vectors, 7, block_bytes=block_bytes)
+    assert key(found) == key(plain) and set(found.columns) == set(plain.columns)
+    assert recommend.generate(users, acts, vectors, T0, 3).groupBy("usuario_id").count().where("count > 3").isEmpty()
+
+
 def test_latest_global_run(spark):
     rows = spark.createDataFrame([(1, 1, datetime(2024, 1, 1)), (2, 1, datetime(2024, 2, 1))], "usuario_id int, posicao int, data_geracao timestamp_ntz")
     assert recommend.for_user(rows, 1).count() == 0 and recommend.for_user(rows, 2).count() == 1
