@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.session import ship
+
+__all__ = ["crc32_mod", "shared_dir", "ship", "table", "written"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Only where it is unset, as in tests, a local one is set."""
@@ -37,22 +38,3 @@ def crc32_mod(column: str, modulus: int):
     """crc32 of the decimal text of a column, modulo ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
-
-BATCH_ROWS = 2_000
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it already; and ask for smaller Arrow
-    batches than the default, as rows here are whole texts."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root = Path(__file__).resolve().parents[2]
-    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if any(Path(p).resolve() == root for p in known):
-        return
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        where = shutil.make_archive(f"{tempfile.mkdtemp()}/quarrylight", "zip", root, "quarrylight")
-        spark.sparkContext.addPyFile(where)
-        _shipped.add(app)
