@@ -13,12 +13,16 @@ from quarrylight.session import ship
 __all__ = ["crc32_mod", "shared_dir", "ship", "table", "written"]
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Only where it is unset, as in tests, a local one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='quarrylight-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own_dirs.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='quarrylight-')}"
+        _own_dirs[app] = where
     return where.rstrip("/")
 
 

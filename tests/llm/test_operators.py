@@ -32,6 +32,18 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_shared_folder(spark):
+    from quarrylight.llm.runtime import shared_dir
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        sparkContext = spark.sparkContext
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir") and shared_dir(Unset) == shared_dir(Unset) != shared_dir(spark)
+
+
 # --- token output ---
 
 
