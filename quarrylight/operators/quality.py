@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quarrylight.functions.scalars import COMPLETION, RATING, any_of, json_list
 from quarrylight.operators.layers import with_key_stats
-from quarrylight.sources.contracts import CATALOGUE, COMMENT, CONTRACTS, INTERACTION, Contract
+from quarrylight.sources.contracts import CATALOGUE, COMMENT, CONTRACTS, INTERACTION
 
 SAMPLE = 5
 PASSED, ALERTED, FAILED = "sucesso", "sucesso_com_ressalvas", "falha"
