@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,7 +285,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text"
                 if parts:
                     values.append("".join([*parts, raw[last:]]))
                     mask[k] = True
-            new = texts if not values else pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(values, texts.type))
+            new = texts if not values else pc.replace_with_mask(texts, pa.array(mask), pa.array(values, texts.type))
             arrays = [new if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "the_kinds"])
 
