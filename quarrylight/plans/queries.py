@@ -309,12 +309,14 @@ def quarantine_by_rule(e: Entities) -> DataFrame:
     return bad.groupBy("regra_violada").agg(F.count("*").alias("linhas"))
 
 
-@query(f"SELECT 'usuario_id=' || raw_usuario_id || '|conteudo_id=' || raw_conteudo_id || '|tipo_interacao=' || raw_tipo_interacao || '|data_hora=' || strftime(data_hora, '%Y-%m-%dT%H:%M:%S') AS registro, CASE WHEN tipo_interacao NOT IN ('início', 'visualização', 'curtida', 'compartilhamento', 'conclusão', 'avaliação') THEN 'tipo_interacao fora do domínio' ELSE '' END AS mensagem FROM {_TYPED_SQL} WHERE ordinal % 101 = 0 AND ordinal % 97 <> 0 AND conteudo_id IS NOT NULL AND percentual_conclusao <= 100 ORDER BY ordinal LIMIT 5", "interacao")
+@query(
+    f"""SELECT 'usuario_id=' || raw_usuario_id || '|conteudo_id=' || raw_conteudo_id || '|tipo_interacao=' || raw_tipo_interacao || '|data_hora=' || strftime(data_hora, '%Y-%m-%dT%H:%M:%S') AS registro, array_to_string(falhas, '; ') AS mensagem FROM
+(SELECT *, list_filter([CASE WHEN conteudo_id IS NULL THEN 'conteudo_id em formato inválido' END, CASE WHEN tipo_interacao NOT IN ('início', 'visualização', 'curtida', 'compartilhamento', 'conclusão', 'avaliação') THEN 'tipo_interacao fora do domínio' END,
+CASE WHEN percentual_conclusao NOT BETWEEN 0 AND 100 THEN 'percentual_conclusao fora de 0–100' END], lambda x: x IS NOT NULL) AS falhas FROM {_TYPED_SQL}) WHERE len(falhas) > 0 ORDER BY ordinal LIMIT 5""",
+    "interacao",
+)
 def quality_sample(e: Entities) -> DataFrame:
-    batch = batch_of(e)
-    at = F.col("ordinal")
-    rows = batch.sources["interacoes"].where((at % 101 == 0) & (at % 97 != 0) & F.col("conteudo_id").isNotNull() & (F.col("percentual_conclusao") <= 100))
-    return quality.sample_of(quality.Batch({"interacoes": rows}, e.users), quality.RULES[1], "interacoes")
+    return quality.sample_of(batch_of(e), quality.RULES[1], "interacoes")
 
 
 _HISTORY_SQL = "(SELECT 'run-' || CAST(event_id % 7 AS VARCHAR) AS id_execucao, event_type AS id_regra, CASE WHEN event_type IN ('click', 'view') THEN '>=' ELSE '<=' END AS operador, round(abs(value), 3) AS metrica, event_id % 50 <> 0 AS aprovado FROM events)"
@@ -352,13 +354,13 @@ def broken_keys(e: Entities) -> DataFrame:
 
 
 _CLASS_SQL = f"""(SELECT ordinal, CASE WHEN trim(raw_tipo_interacao) = '' THEN 'incompleto' WHEN len(falhas) > 0 THEN 'invalido' WHEN vezes > 1 THEN 'duplicado' ELSE 'valido' END AS situacao, CASE WHEN trim(raw_tipo_interacao) = '' THEN 'Campos obrigatórios ausentes: tipo_interacao' WHEN len(falhas) > 0 THEN array_to_string(falhas, ' ') WHEN vezes > 1 THEN 'Registro duplicado conforme a regra da fonte.' ELSE '' END AS motivos FROM
-(SELECT *, list_filter([CASE WHEN conteudo_id IS NULL OR conteudo_id <= 0 THEN 'conteudo_id inválido.' END, CASE WHEN raw_tipo_interacao NOT IN ('início', 'visualização', 'curtida', 'compartilhamento', 'conclusão', 'avaliação') THEN 'tipo_interacao inválido.' END, CASE WHEN percentual_conclusao NOT BETWEEN 0 AND 100 THEN 'percentual_conclusao inválido.' END], lambda x: x IS NOT NULL) AS falhas,
-count(*) OVER (PARTITION BY raw_usuario_id, raw_conteudo_id, raw_tipo_interacao, data_hora) AS vezes FROM {_TYPED_SQL} WHERE usuario_id > 0))"""
+(SELECT *, list_filter([CASE WHEN usuario_id <= 0 THEN 'usuario_id inválido.' END, CASE WHEN conteudo_id IS NULL OR conteudo_id <= 0 THEN 'conteudo_id inválido.' END, CASE WHEN raw_tipo_interacao NOT IN ('início', 'visualização', 'curtida', 'compartilhamento', 'conclusão', 'avaliação') THEN 'tipo_interacao inválido.' END, CASE WHEN percentual_conclusao NOT BETWEEN 0 AND 100 THEN 'percentual_conclusao inválido.' END], lambda x: x IS NOT NULL) AS falhas,
+count(*) OVER (PARTITION BY raw_usuario_id, raw_conteudo_id, raw_tipo_interacao, data_hora) AS vezes FROM {_TYPED_SQL}))"""
 
 
 def _classified(e: Entities) -> DataFrame:
     required = ["usuario_id", "conteudo_id", "tipo_interacao", "data_hora", "tempo_consumido", "percentual_conclusao"]
-    return validation.classified(text_interactions(e).where(F.col("usuario_id").cast("int") > 0), "interacoes", required, list(INTERACTION.key))
+    return validation.classified(text_interactions(e), "interacoes", required, list(INTERACTION.key))
 
 
 @query(f"SELECT * FROM {_CLASS_SQL}", "interacao")
@@ -420,7 +422,7 @@ def master_resolved(e: Entities) -> DataFrame:
     return e.origins.withColumn("fontes", F.array_join("fontes", ","))
 
 
-@query("SELECT conteudo_id, 'carga_horaria_min' AS atributo, 'entre_fontes' AS nivel_conflito, 'silver_catalogo=' || CAST(carga_horaria_min AS VARCHAR) || ';d1_postgres=' || CAST(carga_horaria_min + 1 AS VARCHAR) AS valores, CAST(carga_horaria_min AS VARCHAR) AS valor_escolhido, 'prioridade da fonte: silver_catalogo > d1_postgres' AS regra_sobrevivencia FROM catalogo WHERE conteudo_id % 9 = 0", "catalogo")
+@query("SELECT conteudo_id, 'carga_horaria_min' AS atributo, 'entre_fontes' AS nivel_conflito, 'silver_catalogo=' || CAST(carga_horaria_min AS VARCHAR) || ';d1_postgres=' || CAST(carga_horaria_min + 1 AS VARCHAR) AS valores, CAST(carga_horaria_min AS VARCHAR) AS valor_escolhido, 'prioridade da fonte: silver_catalogo > d1_postgres' AS regra_sobrevivencia FROM catalogo WHERE tipo = 'Curso' AND nivel = 'Básico'", "catalogo")
 def master_source_conflicts(e: Entities) -> DataFrame:
     found = master.source_conflicts(e.records)
     return found.withColumn("valores", F.array_join(F.transform("valores", lambda x: F.concat(x["fonte"], F.lit("="), x["valor"])), ";"))
@@ -449,9 +451,9 @@ def master_ids(e: Entities) -> DataFrame:
     return e.golden.select("conteudo_mestre_id", "conteudo_id_canonico", "titulo", "qtd_registros_origem")
 
 
-@query("""SELECT g.chave, coalesce(min(m.conteudo_mestre_id), 'novo') AS conteudo_mestre_id, greatest(count(DISTINCT m.conteudo_mestre_id) - 1, 0) AS absorvidos FROM grupo g LEFT JOIN (SELECT chave, 'CM-' || lpad(CAST(conteudo_id AS VARCHAR), 6, '0') AS conteudo_mestre_id FROM origem WHERE conteudo_id % 2 = 0) m ON m.chave = g.chave GROUP BY g.chave""", "grupo", "origem")
+@query("""SELECT g.chave, coalesce(min(m.conteudo_mestre_id), 'novo') AS conteudo_mestre_id, greatest(count(DISTINCT m.conteudo_mestre_id) - 1, 0) AS absorvidos FROM grupo g LEFT JOIN (SELECT chave, 'CM-' || lpad(CAST(conteudo_id AS VARCHAR), 6, '0') AS conteudo_mestre_id FROM origem WHERE nivel = 'Básico') m ON m.chave = g.chave GROUP BY g.chave""", "grupo", "origem")
 def master_ids_reused(e: Entities) -> DataFrame:
-    prior = e.origins.where("conteudo_id % 2 = 0").select(F.lit("silver_catalogo").alias("fonte"), F.col("conteudo_id").alias("id_origem"), F.format_string("CM-%06d", "conteudo_id").alias("conteudo_mestre_id"))
+    prior = e.origins.where("nivel = 'Básico'").select(F.lit("silver_catalogo").alias("fonte"), F.col("conteudo_id").alias("id_origem"), F.format_string("CM-%06d", "conteudo_id").alias("conteudo_mestre_id"))
     found = master.with_master_ids(master.consolidated(e.origins), e.origins, prior, 10_000_000)
     return found.select("chave", F.when(F.col("conteudo_mestre_id") > "CM-1000000", "novo").otherwise(F.col("conteudo_mestre_id")).alias("conteudo_mestre_id"), F.size("absorvidos").cast("long").alias("absorvidos"))
 
@@ -464,18 +466,18 @@ def master_members(e: Entities) -> DataFrame:
 # --- load semantics ---
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 25 THEN 'novo' ELSE 'antigo' END AS versao, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS primeira_vez FROM part WHERE p_partkey % 2 = 0 OR p_size >= 25")
+@query("SELECT p_partkey, CASE WHEN p_size >= 25 THEN 'novo' ELSE 'antigo' END AS versao, CASE WHEN p_size < 35 THEN 1 ELSE 2 END AS primeira_vez FROM part")
 def upsert(e: Entities) -> DataFrame:
     p = e.table("part")
-    old = p.where("p_partkey % 2 = 0").select("p_partkey", F.lit("antigo").alias("versao"), F.lit(1).alias("primeira_vez"))
+    old = p.where("p_size < 35").select("p_partkey", F.lit("antigo").alias("versao"), F.lit(1).alias("primeira_vez"))
     new = p.where("p_size >= 25").select("p_partkey", F.lit("novo").alias("versao"), F.lit(2).alias("primeira_vez"))
     return sinks.upsert(old, new, ["p_partkey"], ("primeira_vez",))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'antigo' ELSE 'novo' END AS versao FROM part WHERE p_partkey % 2 = 0 OR p_size >= 25")
+@query("SELECT p_partkey, CASE WHEN p_size < 35 THEN 'antigo' ELSE 'novo' END AS versao FROM part")
 def insert_ignore(e: Entities) -> DataFrame:
     p = e.table("part")
-    old = p.where("p_partkey % 2 = 0").select("p_partkey", F.lit("antigo").alias("versao"))
+    old = p.where("p_size < 35").select("p_partkey", F.lit("antigo").alias("versao"))
     return sinks.insert_ignore(old, p.where("p_size >= 25").select("p_partkey", F.lit("novo").alias("versao")), ["p_partkey"])
 
 
@@ -636,10 +638,11 @@ def recommend_topn(e: Entities) -> DataFrame:
     return recommend.best_of_blocks(e.interactions.select("usuario_id").distinct(), e.interactions, e.embeddings, positive_pairs=e.comments.where("avaliacao >= 4"))
 
 
-@query("""SELECT conteudo_id, trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g')) AS texto, sha256(trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g'))) AS texto_hash, conteudo_id % 2 = 0 AND conteudo_id % 3 <> 0 AS reusar FROM catalogo""", "catalogo")
+@query("""SELECT conteudo_id, trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g')) AS texto, sha256(trim(regexp_replace(trim(titulo) || '. ' || trim(descricao), '\\s+', ' ', 'g'))) AS texto_hash, tipo IN ('Curso', 'Artigo') AND nivel <> 'Básico' AS reusar FROM catalogo""", "catalogo")
 def embedding_sync_plan(e: Entities) -> DataFrame:
     plan = search.sync_plan(e.catalogue, e.catalogue.select("conteudo_id", F.lit("").alias("modelo"), F.lit("").alias("texto_hash")), "m")
-    store = plan.where("conteudo_id % 2 = 0").select("conteudo_id", F.when(F.col("conteudo_id") % 3 == 0, "outro").otherwise("m").alias("modelo"), "texto_hash")
+    known = plan.join(e.catalogue.where("tipo IN ('Curso', 'Artigo')").select("conteudo_id", "nivel"), "conteudo_id")
+    store = known.select("conteudo_id", F.when(F.col("nivel") == "Básico", "outro").otherwise("m").alias("modelo"), "texto_hash")
     return search.sync_plan(e.catalogue, store, "m")
 
 

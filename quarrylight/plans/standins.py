@@ -75,13 +75,13 @@ class Entities:
 
     @cached_property
     def origins(self) -> DataFrame:
-        """Both sources of the catalogue resolved to one record an id: the second lacks some ids and renames others."""
+        """Both sources of the catalogue resolved to one record an id: the second holds courses only and differs on some."""
         return master.resolved(self.records)
 
     @cached_property
     def records(self) -> DataFrame:
         c = self.catalogue
-        second = c.where("conteudo_id % 3 = 0").withColumn("carga_horaria_min", F.when(F.col("conteudo_id") % 9 == 0, F.col("carga_horaria_min") + 1).otherwise(F.col("carga_horaria_min")))
+        second = c.where("tipo = 'Curso'").withColumn("carga_horaria_min", F.when(F.col("nivel") == "Básico", F.col("carga_horaria_min") + 1).otherwise(F.col("carga_horaria_min")))
         return master.tagged({"silver_catalogo": c, "d1_postgres": second})
 
     @cached_property
@@ -95,8 +95,9 @@ class Entities:
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        pairs = self.interactions.where("conteudo_id % 3 = 0").select("usuario_id", "conteudo_id").distinct()
-        runs = pairs.withColumn("g", F.explode(F.array(F.lit(1), F.lit(2)))).where("g = 1 OR usuario_id % 2 = 0")
+        # a first generation of what was shared or completed, a second of what was liked: some users have both
+        run = F.when(F.col("tipo_interacao") == "curtida", 2).when(F.col("tipo_interacao").isin("compartilhamento", "conclusão"), 1)
+        runs = self.interactions.select("usuario_id", "conteudo_id", run.alias("g")).where("g IS NOT NULL").distinct()
         score = ((F.col("usuario_id") * 13 + F.col("conteudo_id") * 7 + F.col("g")) % 10000 / 100).cast("decimal(5,2)")
         runs = runs.withColumn("pontuacao", score)
         return runs.select(
@@ -167,8 +168,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS data, '{RUN}' AS id_execucao FROM documents"""),
     "vetor": ((), "SELECT CAST(vec_id AS INTEGER) AS conteudo_id, CAST(embedding AS DOUBLE[]) AS embedding, 'modelo-' || CAST(label % 3 AS VARCHAR) AS modelo, label FROM embeddings"),
     "registro": (("catalogo",), """SELECT *, 'silver_catalogo' AS fonte, 0 AS prioridade FROM catalogo UNION ALL
-        SELECT * REPLACE (CASE WHEN conteudo_id % 9 = 0 THEN carga_horaria_min + 1 ELSE carga_horaria_min END AS carga_horaria_min), 'd1_postgres', 1 FROM catalogo WHERE conteudo_id % 3 = 0"""),
-    "origem": (("catalogo",), f"SELECT *, CASE WHEN conteudo_id % 3 = 0 THEN ['silver_catalogo', 'd1_postgres'] ELSE ['silver_catalogo'] END AS fontes, {MATCH_SQL} AS chave, {CANDIDATE_SQL} AS candidato FROM catalogo"),
+        SELECT * REPLACE (CASE WHEN nivel = 'Básico' THEN carga_horaria_min + 1 ELSE carga_horaria_min END AS carga_horaria_min), 'd1_postgres', 1 FROM catalogo WHERE tipo = 'Curso'"""),
+    "origem": (("catalogo",), f"SELECT *, CASE WHEN tipo = 'Curso' THEN ['silver_catalogo', 'd1_postgres'] ELSE ['silver_catalogo'] END AS fontes, {MATCH_SQL} AS chave, {CANDIDATE_SQL} AS candidato FROM catalogo"),
     "grupo": (("origem",), """SELECT chave, arg_min(conteudo_id, (data_publicacao, conteudo_id)) AS conteudo_id_canonico, arg_min(titulo, (data_publicacao, conteudo_id)) AS titulo, arg_min(tipo, (data_publicacao, conteudo_id)) AS tipo, arg_max(categoria, (data_publicacao, conteudo_id)) AS categoria,
         arg_min(nivel, (data_publicacao, conteudo_id)) AS nivel, arg_max(carga_horaria_min, (data_publicacao, conteudo_id)) AS carga_horaria_min, min(data_publicacao) AS data_publicacao, arg_min(descricao, (data_publicacao, conteudo_id)) AS descricao,
         arg_min(autor, (data_publicacao, conteudo_id)) AS autor, list_sort(list(DISTINCT conteudo_id)) AS membros, CAST(sum(len(fontes)) AS BIGINT) AS qtd_registros_origem FROM origem GROUP BY chave"""),
@@ -177,7 +178,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (SELECT unnest(o.fontes) AS fonte, o.fontes, o.conteudo_id AS id_origem, g.conteudo_mestre_id, g.membros FROM origem o JOIN ouro g ON o.chave = g.chave)"""),
     "recomendacao": (("interacao",), """SELECT CAST(usuario_id AS BIGINT) * 1000 + conteudo_id * 3 + g AS recomendacao_id, usuario_id, conteudo_id, CAST(1 + conteudo_id % 10 AS INTEGER) AS posicao, pontuacao, CASE WHEN pontuacao >= 70 THEN 'Positivo' WHEN pontuacao <= 40 THEN 'Negativo' ELSE 'Estável' END AS status,
         CASE WHEN g = 1 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-04-01' END AS data_geracao FROM (SELECT usuario_id, conteudo_id, g, CAST(((usuario_id * 13 + conteudo_id * 7 + g) % 10000) / 100.0 AS DECIMAL(5,2)) AS pontuacao FROM
-        (SELECT DISTINCT usuario_id, conteudo_id FROM interacao WHERE conteudo_id % 3 = 0), (VALUES (1), (2)) AS r(g) WHERE g = 1 OR usuario_id % 2 = 0)"""),
+        (SELECT DISTINCT usuario_id, conteudo_id, CASE tipo_interacao WHEN 'curtida' THEN 2 ELSE 1 END AS g FROM interacao WHERE tipo_interacao IN ('curtida', 'compartilhamento', 'conclusão')))"""),
     "fato_interacao": (("interacao", "mapa", "catalogo"), f"""SELECT {pseudonym_sql('i.usuario_id')} AS usuario_chave, m.conteudo_mestre_id, i.conteudo_id AS conteudo_id_origem, tipo_interacao, data_hora, CAST(data_hora AS DATE) AS data, strftime(data_hora, '%Y-%m') AS ano_mes, tempo_consumido, percentual_conclusao, avaliacao_atribuida,
         {CONSUMED_SQL} AS eh_consumo, tipo_interacao = 'conclusão' AS eh_conclusao, CAST(data_hora AS DATE) < c.data_publicacao AS anterior_a_publicacao, i.id_execucao FROM interacao i JOIN mapa m ON m.fonte = 'silver_catalogo' AND m.id_origem = i.conteudo_id JOIN catalogo c ON c.conteudo_id = i.conteudo_id"""),
     "fato_comentario": (("comentario", "mapa", "catalogo"), f"""SELECT md5(concat_ws('|', co.usuario_id, co.conteudo_id, co.data, co.comentario)) AS comentario_chave, {pseudonym_sql('co.usuario_id')} AS usuario_chave, m.conteudo_mestre_id, co.conteudo_id AS conteudo_id_origem, co.data, strftime(co.data, '%Y-%m') AS ano_mes, avaliacao,
