@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Kinds of interactions, and academic titles that authors are matched without.
 CONSUMPTION = ("início", "visualização", "conclusão")
 COMPLETION, LIKE, SHARE, RATING = "conclusão", "curtida", "compartilhamento", "avaliação"
 HONORIFICS = ("prof", "profa", "dr", "dra", "eng", "me", "ma", "msc", "phd")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.measures import engagement_measures
 from quarrylight.functions.scalars import month, salted_pseudonym
 
+# Fixed value: the category of contents that the catalogue lacks.
 UNCATALOGUED = "Não catalogado"
 COLUMNS = ["usuario_id", "conteudo_id", "tipo_interacao", "data_hora", "tempo_consumido", "percentual_conclusao", "avaliacao_atribuida"]
 

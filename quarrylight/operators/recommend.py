@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.scalars import COMPLETION, LIKE, clamped, cosine_distance
 from quarrylight.session import ship
 
+# What counts as a view, and the names of statuses.
 VIEWS = ("visualização",)
 POSITIVE, STABLE, NEGATIVE = "Positivo", "Estável", "Negativo"
 

@@ -14,6 +14,9 @@ VALID, INVALID, INCOMPLETE, REPEATED = "valido", "invalido", "incompleto", "dupl
 SITUATIONS = (VALID, INVALID, INCOMPLETE, REPEATED)
 
 
+# The wording of reasons below, and the names of situations above.
+
+
 def checks(source: str) -> list[tuple[str, Column]] | None:
     """(reason, condition that must hold) by source; None for one that isn't known."""
     if source == "catalogo":
