@@ -1,10 +1,13 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 A vector is described by its DESCRIBED nearest reference points, nearest first, and stands in the
-inverted lists of the first LISTED of them.  Vectors that meet in a list and share at least SHARED
-described points are candidates and verified by their cosine in double precision.  A pair that meets in
-more than one list is counted in the list of its least common listed point.  Identical vectors of a
-label are one node of the index.  A long list is cut in blocks and each pair of blocks is a task.
+inverted lists of the first LISTED of them.  Vectors that meet in a list are candidates if they share
+at least SHARED described points or if one is nearest to the list's point, and verified by their cosine
+in double precision.  A pair that meets in more than one list is counted in the list of its least common
+listed point.  Reference points keep apart, so that a large group of near copies has one or few of them
+and meets there.  A vector whose nearest point is nearest for all that can link with it stands in that
+list only.  Identical vectors of a label are one node of the index.  A long list is cut in blocks and each
+pair of blocks is a task.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from quarrylight.llm.runtime import written
 THRESHOLD = 0.98
 DESCRIBED, LISTED, SHARED = 12, 6, 2
 MAX_PIVOTS = 4096  # reference points; about 4 sqrt(n), a sample of the rows
+APART = 0.9  # cosine that two sampled reference points stay below
 BLOCK = 1024
 
-NODE_SCHEMA = "node long, weight long, label long, dim int, vector array<double>, pivots array<int>"
+NODE_SCHEMA = "node long, weight long, label long, dim int, vector array<double>, pivots array<int>, lists int"
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -35,10 +39,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def points_apart(points: np.ndarray) -> np.ndarray:
+    """The points without those too close to an earlier one that stays."""
+    left, keep = np.ones(len(points), bool), []
+    for k in range(len(points)):
+        if left[k]:
+            keep.append(k)
+            left &= points @ points[k] < APART
+    return points[keep]
+
+
+def lists_of(near: np.ndarray, threshold: float) -> np.ndarray:
+    """In how many lists a vector stands, by its cosines with its nearest points, nearest first.
+
+    One, where no vector within the threshold can be as near to another point: the plane between two
+    points is then farther off than the longest chord of a link.  Their distance is at most the sum of
+    the vector's distances to both, and of all other points the second one comes closest to that plane.
+    """
+    lists = np.full(len(near), min(LISTED, near.shape[1]), np.int32)
+    if near.shape[1] > 1:
+        chord = lambda cosine: np.sqrt(np.maximum(2 - 2 * cosine, 0))
+        a, b = near[:, 0], near[:, 1]
+        lists[(b < threshold) & (a - b > chord(threshold) * (chord(a) + chord(b)) + 1e-9)] = 1
+    return lists
+
+
 def reference_points(dim: int, sampled: dict[int, np.ndarray], n: int) -> np.ndarray:
     """Sampled rows of this length, or fixed random directions where the sample has none."""
     found = sampled.get(dim)
-    if found is not None and len(found) >= DESCRIBED:
+    if found is not None:
         return found
     return _unit(np.random.default_rng(dim).standard_normal((max(n, DESCRIBED), dim)))
 
@@ -60,7 +89,7 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     by_dim: dict[int, list[np.ndarray]] = {}
     for v in sample["vector"].to_pylist():
         by_dim.setdefault(len(v), []).append(np.array(v, np.float64))
-    sampled = {dim: _unit(np.stack(sorted(x, key=lambda v: v.tolist()))[:MAX_PIVOTS]) for dim, x in by_dim.items()}
+    sampled = {dim: points_apart(_unit(np.stack(sorted(x, key=lambda v: v.tolist()))[:MAX_PIVOTS])) for dim, x in by_dim.items() if len(x) >= DESCRIBED}
     shared = rows.sparkSession.sparkContext.broadcast(sampled)  # 2 * MAX_PIVOTS vectors at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,18 +104,19 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                     top = np.argpartition(near, DESCRIBED - 1, axis=1)[:, :DESCRIBED] if near.shape[1] > DESCRIBED else np.tile(np.arange(near.shape[1]), (len(part), 1))
                     order = np.lexsort((top, np.take_along_axis(near, top, 1)), axis=1)
                     top = np.take_along_axis(top, order, 1).astype(np.int32)
+                    lists = lists_of(-np.take_along_axis(near, top, 1), threshold)
                     pivots = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, top.shape[1], dtype=np.int32)), pa.array(top.ravel()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pivots], names=["node", "weight", "label", "dim", "vector", "pivots"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pivots, pa.array(lists)], names=["node", "weight", "label", "dim", "vector", "pivots", "lists"])
 
     described = nodes.select("node", "weight", F.col("label").cast("long").alias("label"), F.size("vector").alias("dim"), "vector").mapInArrow(describe, NODE_SCHEMA)
     described = written(described, "described")
-    listed = described.select("node", "label", "dim", F.explode(F.slice("pivots", 1, LISTED)).alias("pivot"))
+    listed = described.select("node", "label", "dim", F.explode(F.slice("pivots", F.lit(1), F.col("lists"))).alias("pivot"))
     sizes = listed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1")
     sizes = written(sizes, "lists")
-    placed = described.withColumn("pivot", F.explode(F.slice("pivots", 1, LISTED))).join(sizes, ["label", "dim", "pivot"])
+    placed = described.withColumn("pivot", F.explode(F.slice("pivots", F.lit(1), F.col("lists")))).join(sizes, ["label", "dim", "pivot"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("label", "dim", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vector", "pivots")
+    placed = placed.select("label", "dim", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vector", "pivots", "lists")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("node")
@@ -99,12 +129,13 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
         has = np.zeros((len(node), len(names)), np.float32)
         np.put_along_axis(has, code, 1, 1)
         first = np.zeros_like(has)
-        np.put_along_axis(first, code[:, :LISTED], 1, 1)
+        np.put_along_axis(first, code[:, :LISTED], (np.arange(min(LISTED, code.shape[1])) < np.asarray(group["lists"])[:, None]).astype(np.float32), 1)
+        nearest = pivots[:, 0] == pivot
         below = first[:, names < pivot]  # listed points that would take the pair
         links, ends = np.zeros(len(node), np.int64), []
         for k in range(0, len(node), 256):
             rows = slice(k, k + 256)
-            near = (has[rows] @ has.T >= SHARED) & (below[rows] @ below.T == 0)
+            near = ((has[rows] @ has.T >= SHARED) | nearest[rows, None] | nearest) & (below[rows] @ below.T == 0)
             near &= (np.arange(len(node))[rows, None] < np.arange(len(node))) & ((i == j) | (own[rows, None] != own))
             a, b = np.nonzero(near)
             sure = (x[rows] @ x.T)[a, b] >= threshold

@@ -295,6 +295,31 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_large_group(spark):
+    """A group of distinct near copies that holds a third of the rows keeps its links."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((3000, 64)))
+    x[:1000] = unit(x[0] + 0.0316 * unit(rng.standard_normal((1000, 64))))
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicate_vectors(df).collect()}
+    assert want[:1000].min() == 999 and [got[i] for i in range(3000)] == want.tolist()
+
+
+def test_one_list_is_enough():
+    rng = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    points = vectors.points_apart(unit(rng.standard_normal((60, 6))))
+    assert (points @ points.T - np.eye(len(points))).max() < vectors.APART
+    x = unit(np.repeat(points, 40, 0) + 0.3 * rng.standard_normal((len(points) * 40, 6)))
+    near = x @ points.T
+    alone = vectors.lists_of(-np.sort(-near, 1)[:, : vectors.DESCRIBED], vectors.THRESHOLD) == 1
+    linked = x[alone] @ x.T >= vectors.THRESHOLD
+    same = near[alone].argmax(1)[:, None] == near.argmax(1)
+    assert alone.sum() > 100 and (same | ~linked).all()
+
+
 # --- learned operators ---
 
 
