@@ -199,6 +199,16 @@ def test_prefix_join_loses_nothing(spark):
             assert got[i] == (",".join(sorted(share)), round(max(share.values(), default=0), 9))
 
 
+def test_wrapped_notices(spark, tmp_path):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met",
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License", "x\n" * 300 + "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0\n" + "y\n" * 300, "a\nb\n" * 200,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd-3", 1.0), 2: ("gpl-3", 1.0), 3: ("mpl-2", 1.0), 4: ("", 0.0)}
+
+
 # --- near copies ---
 
 
