@@ -20,6 +20,7 @@ from quarrylight.llm.textbytes import text_slices
 
 DIMENSION = 1024
 TRAIN_ROWS = 20_000  # documents fitted on, about; fewer if the table has fewer
+LEAST_ROWS = 50  # of each language, about, however many languages there are; all where there are fewer
 SHARPNESS = 25.0  # of the cosines in the score
 BLANK = 0
 
@@ -122,12 +123,19 @@ def fit_prototypes(docs: DataFrame, train_rows: int = TRAIN_ROWS, dimension: int
     """Prototypes of the non-null ``lang`` values.
 
     Fitted on a sample of about ``train_rows`` rows, chosen by a hash of doc_id and text; all rows if
-    there are no more.  Each task adds up one vector for each language and the sums are added.
+    there are no more.  Languages share the rows evenly, and all rows of one that has less than its share
+    are used.  Each task adds up one vector for each language and the sums are added.
     """
     labelled = docs.where(F.col("lang").isNotNull())
-    share = min(1.0, train_rows / max(1, labelled.count()))
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    room, left = train_rows, len(sizes)
+    share = F.lit(1_000_000)
+    for lang, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        own = max(room / left, LEAST_ROWS)
+        if n > own:
+            share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * own / n))).otherwise(share)
+        room, left = room - min(n, own), left - 1
+    labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -403,6 +403,12 @@ def test_language(spark, odd_docs, no_docs):
     assert langid.predict_language(no_docs, langs, prototypes, ["doc_id"]).count() == 0
 
 
+def test_rare_language_has_a_prototype(spark):
+    rows = [(k, f"the common words of text {k}", "en") for k in range(3000)] + [(3000, "słowa rzadkiego języka", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit_prototypes(docs, 20)[0] == ["en", "pl"]
+
+
 def test_bundle_against_loops():
     texts = ["ab Çd", "x", "12!", "ab ab"]
     got, has = langid.bundle(texts, 32)
