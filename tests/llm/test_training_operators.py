@@ -353,6 +353,10 @@ def test_toxicity(spark, odd_docs, no_docs):
     odd = toxicity.score_toxicity(odd_docs, field, ["doc_id", "score", "k0"])
     assert odd.count() == odd_docs.count() and odd.where("predicted = 1").isEmpty()
     text = "You are a pathetic idiot and a stupid worthless moron, idiot. Fine day."
+    again = toxicity.fit_toxicity(docs.repartition(5), labels.where(rest != 1))
+    assert np.array_equal(again.keys, field.keys) and np.array_equal(again.emission, field.emission)
+    predicted = found["predicted"].to_numpy()
+    assert (predicted & y).sum() > 0.86 * y.sum() and (predicted & y).sum() >= 0.98 * predicted.sum()
     r = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), field, ["doc_id"]).first()
     assert r["predicted"] == 1 and any("idiot" in text[s["start"] : s["end"]] for s in r["spans"])
     nothing = toxicity.fit_toxicity(docs, labels.limit(0))
@@ -360,12 +364,34 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, nothing, ["doc_id"]).count() == 0
 
 
+def test_toxicity_learns_from_all_unlike_texts(spark, monkeypatch):
+    """Texts that share words count each; copies and near copies of a class once; the field is the same however rows are dealt."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words, 60)) + (" grub" * 3 if k % 3 == 0 else "")) for k in range(600)]
+    rows += [(1000 + k, rows[1][1]) for k in range(50)] + [(2000, None), (2001, ""), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0 and k < 1000)) for k, _ in rows] + [(0, 0), (2000, None), (None, 1)], "doc_id long, toxic int")
+    kept = []
+    plain = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    one = toxicity.fit_toxicity(docs, labels)
+    assert kept[0].where("length(text) > 0").count() == kept[0].where("length(text) > 0").distinct().count() == 600
+    other = toxicity.fit_toxicity(docs.repartition(7), labels.repartition(3))
+    for name in ("keys", "bins", "emission", "transition", "calibration"):
+        assert np.array_equal(getattr(one, name), getattr(other, name))
+    found = toxicity.score_toxicity(docs, one, ["doc_id"]).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
+    assert (found["predicted"] == found["toxic"].fillna(0)).all()
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(9)
     emission, transition = rng.standard_normal(11), np.array([[0.0, -1.0], [0.3, 0.8]])
     first = np.array([0, 5, 5, 12])
     bins = rng.integers(0, 11, 12)
-    got = toxicity.marginals(bins, first, emission, transition)
+    got = toxicity.marginals(emission[bins], first, transition)
+    pair, logs = toxicity._expected(emission[bins], first, transition)
+    assert pair[:, :, 1].sum(1) == pytest.approx(got)
     for a, b in zip(first[:-1], first[1:]):
         n, total, on = b - a, 0.0, np.zeros(b - a)
         for path in range(1 << n):
@@ -373,9 +399,9 @@ def test_marginals_against_enumeration():
             w = np.exp(sum(emission[bins[a + k]] * t for k, t in enumerate(tags)) + sum(transition[p, t] for p, t in zip([0, *tags[:-1]], tags)))
             total += w
             on += w * np.array(tags)
-        assert got[a:b] == pytest.approx(on / total)
+        assert got[a:b] == pytest.approx(on / total) and logs[list(first).index(a) + (n > 5)] == pytest.approx(np.log(total))
     long = rng.integers(0, 11, 1000)  # over several chunks: the same as one step at a time
-    p = toxicity.marginals(long, np.array([0, 1000]), emission, transition)
+    p = toxicity.marginals(emission[long], np.array([0, 1000]), transition)
     t, e = np.exp(transition), np.exp(emission)[long]
     f, b = np.zeros((1000, 2)), np.ones((1000, 2))
     x = np.array([1.0, 0.0])
