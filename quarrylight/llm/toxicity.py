@@ -26,7 +26,7 @@ from quarrylight.llm.runtime import crc32_mod, written
 from quarrylight.llm.textbytes import TextSlice, Words, find_words, mix, span_hashes, text_slices
 
 TRAIN_ROWS = 16_000  # labelled documents fitted on, about, half of them toxic where there are as many
-FIELD_ROWS = 2_000  # of the quarter of those that gives no word evidence, documents that the field is fitted on
+FIELD_ROWS = 1_500  # of the quarter of those that gives no word evidence, documents that the field is fitted on
 COPY_GRAMS, COPY_ROWS = 5, 4  # copies of a class have COPY_ROWS equal least hashes of their COPY_GRAMS-grams
 PREDICT_AT = 0.7
 SPAN_AT = 0.5
