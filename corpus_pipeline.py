@@ -12,7 +12,7 @@ from quarrylight.llm.ngram_join import drop_near_duplicates
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.quality import KEEP_AT, fit_quality, score_quality
 from quarrylight.llm.runtime import ship, written
-from quarrylight.llm.surrogates import replace_entities
+from quarrylight.llm.surrogates import configured_key, replace_entities
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data and secrets."""
-    return _counted(replace_entities(docs.select(*COLUMNS)))
+    return _counted(replace_entities(docs.select(*COLUMNS), configured_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
