@@ -1,10 +1,13 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 Texts with the same words are one class.  Bands and rows are chosen for the target recall at the
-threshold; classes that share a band hash are candidates, and the graph of shared bands falls apart in
-candidate groups.  Every pair inside a group is verified on the full n-gram sets, so the result also
-holds links that banding alone would have missed.  A large group is cut in blocks and each pair of
-blocks is a task; tasks return link counts and a spanning forest, never the pairs.
+threshold; classes that share a band hash meet in its bucket, and buckets of the same members count
+once.  In a bucket, pairs are first held against each other by their signatures, one byte of each
+MinHash value: pairs whose estimate lies SLACK standard errors below the threshold part, so that texts
+with a common part, such as a page frame, don't chain to large groups.  What stays connected is a group,
+and every pair inside a group is verified on the full n-gram sets, so the result also holds
+links that banding alone would have missed.  Large buckets and groups are cut in blocks and each pair
+of blocks is a task; tasks return a spanning forest and link counts, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 8
+SLACK = 5.0
+BUCKET_TEXTS = 4096
 BLOCK_TEXTS, BLOCK_GRAMS = 1024, 500_000
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -68,20 +73,48 @@ def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_hashes(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash for each text with n-grams and band."""
+    return signatures(grams, first, bands, rows)[0]
+
+
+def signatures(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text with n-grams, a hash for each band and the low byte of each MinHash value."""
     starts = first[:-1][np.diff(first) > 0]
     low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
     times, plus = _multipliers(bands * rows)
-    out = np.zeros((len(starts), bands), np.uint64)
+    out, marks = np.zeros((len(starts), bands), np.uint64), np.zeros((len(starts), bands * rows), np.uint8)
     value = np.empty(len(grams), np.uint32)
     for k in range(bands * rows):
         np.multiply(low if k % 2 else high, times[k], out=value)
         value ^= plus[k]
         least = np.minimum.reduceat(value, starts)
+        marks[:, k] = (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
         b = k // rows
         out[:, b] = out[:, b] * _STEP + least
         if k % rows == rows - 1:
             out[:, b] = mix(out[:, b] + np.uint64(b))
-    return out
+    return out, marks
+
+
+def equal_marks(threshold: float, marks: int) -> int:
+    """So many of ``marks`` values are equal for two sets at the threshold, less SLACK standard errors."""
+    return max(1, math.floor(marks * threshold - SLACK * math.sqrt(marks * threshold * (1 - threshold))))
+
+
+def alike_roots(marks: np.ndarray, least: int) -> np.ndarray:
+    """A member of each row's group: rows of one group are chained by ``least`` equal values."""
+    root, open_ = np.arange(len(marks)), np.arange(len(marks))
+    left = marks
+    while len(open_):
+        lead = open_[0]
+        open_, left, ahead = open_[1:], left[1:], [lead]
+        while ahead and len(open_):
+            near = np.count_nonzero(left == marks[ahead.pop()], axis=1) >= least
+            if near.any():
+                new = open_[near]
+                root[new] = lead
+                ahead.extend(new.tolist())
+                open_, left = open_[~near], left[~near]
+    return root
 
 
 def intersections(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -126,17 +159,43 @@ def find_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
             for piece in text_slices(batch.column(2)):
                 grams, first, sizes, sums = gram_hashes(piece, n)
                 some = sizes > 0
-                hashes = band_hashes(grams, first, bands, rows).view(np.int64)
+                hashes, marks = signatures(grams, first, bands, rows)
+                hashes = hashes.view(np.int64)
+                mark_ends = np.concatenate([[0], np.cumsum(some * (bands * rows))]).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 own = batch.slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_pydict({"row": own.column(0), "id": own.column(1), "n_words": pa.array(sizes.astype(np.int64)), "k1": pa.array(sums[0].view(np.int64)), "k2": pa.array(sums[1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))})
+                yield pa.RecordBatch.from_pydict({"row": own.column(0), "id": own.column(1), "n_words": pa.array(sizes.astype(np.int64)), "k1": pa.array(sums[0].view(np.int64)), "k2": pa.array(sums[1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel())), "marks": pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(mark_ends), pa.py_buffer(marks.tobytes())])})
 
-    signed = written(texts.mapInArrow(sign, f"row long, id {id_type}, n_words long, k1 long, k2 long, bands array<long>"), "signed")
-    classes = signed.where("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min(F.struct("row", "bands")).alias("first"), F.count("*").alias("weight"))
-    classes = written(classes.select("k1", "k2", F.col("first.row").alias("node"), "n_words", "weight", F.col("first.bands").alias("bands")), "classes")
+    signed = written(texts.mapInArrow(sign, f"row long, id {id_type}, n_words long, k1 long, k2 long, bands array<long>, marks binary"), "signed")
+    classes = signed.where("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min(F.struct("row", "bands", "marks")).alias("first"), F.count("*").alias("weight"))
+    classes = written(classes.select("k1", "k2", F.col("first.row").alias("node"), "n_words", "weight", F.col("first.bands").alias("bands"), F.col("first.marks").alias("marks")), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    edges = banded.join(shared, "band").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    who = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), who(1).alias("x"), who(2).alias("y")).where("n > 1")
+    buckets = written(buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
+    total = buckets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(1, -(-total // (8 * BUCKET_TEXTS)))
+    met = banded.join(buckets.withColumn("blocks", F.ceil(F.col("n") / BUCKET_TEXTS).cast("int")).drop("n"), "band").join(classes.select("node", "marks"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # a block meets all others of its bucket, and alone only where there are none
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(parts))).otherwise(F.col("band"))
+    met = met.select((F.col("blocks") == 1).alias("small"), task.alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "marks")
+    least_marks = equal_marks(threshold, bands * rows)
+
+    def part(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        band, node = np.asarray(group["band"]), np.asarray(group["node"])
+        order = np.lexsort((node, band))
+        marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(len(node), -1)
+        band, node, root = band[order], node[order], np.arange(len(node))
+        bounds = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            root[a:b] = a + alike_roots(marks[order[a:b]], least_marks)
+        some = root != np.arange(len(root))
+        return pa.table({"a": node[root[some]], "b": node[some]})
+
+    edges = met.groupBy("small", "task", "i", "j").applyInArrow(part, "a long, b long")
     groups = written(connected_components(edges), "groups")
 
     sizes = groups.join(classes.select("node", "n_words", "weight"), "node")
