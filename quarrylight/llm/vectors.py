@@ -24,18 +24,17 @@ from quarrylight.llm.runtime import written
 
 THRESHOLD = 0.98
 DESCRIBED, LISTED, SHARED = 12, 6, 2
-MAX_PIVOTS = 4096  # reference points; about 4 sqrt(n), a sample of the rows
+MAX_PIVOTS = 16_384  # reference points at most; about 4 sqrt(n), a sample of the rows
 APART = 0.9  # cosine that two sampled reference points stay below
 BLOCK = 1024
 
-NODE_SCHEMA = "node long, weight long, label long, dim int, vector array<double>, pivots array<int>, lists int"
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -81,11 +80,13 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     """Of (row, label, vector) rows: (row, node) and, by node, weight, links and edges."""
     nodes = rows.groupBy("label", "vector").agg(F.min("row").alias("node"), F.count("*").alias("weight"))
     nodes = written(nodes, "nodes")
+    label_type = nodes.schema["label"].dataType.simpleString()
     members = rows.join(nodes.select("label", "vector", "node"), ["label", "vector"]).select("row", "node")
     n = nodes.count()
     n_pivots = int(min(MAX_PIVOTS, max(64, 4 * n**0.5)))
     share = min(1.0, 1.2 * n_pivots / max(n, 1))
-    sample = nodes.where(F.pmod(F.xxhash64("vector", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share)).select("vector").limit(2 * MAX_PIVOTS).toArrow()
+    chance = F.pmod(F.xxhash64("vector", F.lit(3)), F.lit(1_000_000_000))
+    sample = nodes.where(chance < int(1_000_000_000 * share)).select("vector").distinct().orderBy(chance, "vector").limit(2 * MAX_PIVOTS).toArrow()
     by_dim: dict[int, list[np.ndarray]] = {}
     for v in sample["vector"].to_pylist():
         by_dim.setdefault(len(v), []).append(np.array(v, np.float64))
@@ -108,7 +109,7 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                     pivots = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, top.shape[1], dtype=np.int32)), pa.array(top.ravel()))
                     yield pa.RecordBatch.from_arrays([*part.columns, pivots, pa.array(lists)], names=["node", "weight", "label", "dim", "vector", "pivots", "lists"])
 
-    described = nodes.select("node", "weight", F.col("label").cast("long").alias("label"), F.size("vector").alias("dim"), "vector").mapInArrow(describe, NODE_SCHEMA)
+    described = nodes.select("node", "weight", "label", F.size("vector").alias("dim"), "vector").mapInArrow(describe, f"node long, weight long, label {label_type}, dim int, vector array<double>, pivots array<int>, lists int")
     described = written(described, "described")
     listed = described.select("node", "label", "dim", F.explode(F.slice("pivots", F.lit(1), F.col("lists"))).alias("pivot"))
     sizes = listed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1")
@@ -124,12 +125,13 @@ def link_table(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
         node, weight, own = (np.asarray(group[c]) for c in ("node", "weight", "own"))
         x = _unit(_matrix(group["vector"].chunk(0), dim))
         pivots = np.asarray(group["pivots"].chunk(0).flatten()).reshape(len(node), -1)
-        names, code = np.unique(pivots, return_inverse=True)
-        code = code.reshape(pivots.shape)
-        has = np.zeros((len(node), len(names)), np.float32)
-        np.put_along_axis(has, code, 1, 1)
-        first = np.zeros_like(has)
-        np.put_along_axis(first, code[:, :LISTED], (np.arange(min(LISTED, code.shape[1])) < np.asarray(group["lists"])[:, None]).astype(np.float32), 1)
+        names, code, count = np.unique(pivots, return_inverse=True, return_counts=True)
+        code, names = (np.cumsum(count > 1) - 1)[code.reshape(pivots.shape)], names[count > 1]  # points that some vectors share
+        at, place = np.nonzero(np.isin(pivots, names))
+        has, first = np.zeros((len(node), len(names)), np.float32), np.zeros((len(node), len(names)), np.float32)
+        has[at, code[at, place]] = 1
+        own_list = place < np.asarray(group["lists"])[at]
+        first[at[own_list], code[at, place][own_list]] = 1
         nearest = pivots[:, 0] == pivot
         below = first[:, names < pivot]  # listed points that would take the pair
         links, ends = np.zeros(len(node), np.int64), []
@@ -155,7 +157,10 @@ def near_duplicate_vectors(frame: DataFrame, threshold: float = THRESHOLD, id_co
     """One row for each row of ``frame``: id, n_links, component_id and kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
-    link with nothing.  Identical vectors of a label link; lengths that differ don't.
+    link with nothing.  Identical vectors of a label link; lengths that differ don't.  Labels may be of any
+    type that can be compared.  Of points that are equally near the one of least number comes first.  Equal ids
+    are rows of their own, a component bears its least id; a null id is its own component unless linked, and
+    an empty table gives no rows.  Finite components of any size are compared, the largest scaled to 1.
     """
     rows = frame.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     rows = written(rows.withColumn("ok", usable("vector") & F.col("label").isNotNull()), "vectors")

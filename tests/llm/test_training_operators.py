@@ -241,6 +241,7 @@ def near_texts():
 @pytest.mark.parametrize("block", [1024, 4])
 def test_ngram_join(spark, odd_docs, no_docs, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(ngram_join, "BUCKET_TEXTS", block)
     texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     links, root = plain_links(texts)
@@ -256,6 +257,37 @@ def test_ngram_join(spark, odd_docs, no_docs, monkeypatch, block):
     assert ngram_join.near_duplicate_texts(no_docs).count() == 0
 
 
+def test_common_parts_do_not_chain(spark, monkeypatch):
+    """Pages of one frame meet in buckets but make no group; copies among them are found."""
+    rng = np.random.default_rng(7)
+    frame = " ".join(f"f{k}" for k in range(150))
+    texts = [frame + " " + " ".join(f"p{x}" for x in rng.integers(0, 10**6, 75)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:5]]
+    tables = {}
+    plain = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, root = plain_links(texts)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_join.near_duplicate_texts(df).collect()}
+    assert got == {i: (links[i], root[i]) for i in range(len(texts))} and sum(links) == 10
+    assert tables["buckets"].agg(F.sum("n")).first()[0] > 200 and tables["groups"].groupBy("root").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_chained_marks():
+    rng = np.random.default_rng(8)
+    marks = rng.integers(0, 256, (40, 64), dtype=np.uint8)
+    for k in range(1, 40):
+        if k % 5:
+            marks[k, :50] = marks[k - 1, :50]
+    for least in (1, 30, 50, 60):
+        same = (marks[:, None] == marks).sum(2) >= least
+        root = list(range(40))
+        for _ in root:
+            root = [min(root[j] for j in np.flatnonzero(same[i])) for i in range(40)]
+        assert ngram_join.alike_roots(marks, least).tolist() == root
+    assert ngram_join.equal_marks(0.8, 304) == 208 and ngram_join.equal_marks(0.1, 4) == 1
+
+
 def test_bands_reach_the_recall():
     for s, recall, rows in ((0.8, 0.999, 8), (0.5, 0.9, 4), (0.9, 0.99, 12)):
         b = ngram_join.bands_for(s, recall, rows)
@@ -305,6 +337,14 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_and_label(spark):
+    rows = [(0, [1e200, 0.0], 1.2), (1, [3e200, 0.0], 1.2), (2, [1e-200, 0.0], 1.2), (3, [2e-200, 1e-300], 1.7), (4, [5e-324, 0.0], 1.7), (5, [1.0, 1.0], 1.7)]
+    for text in (False, True):
+        df = spark.createDataFrame([(i, v, str(x) if text else x) for i, v, x in rows], f"vec_id long, embedding array<double>, label {'string' if text else 'double'}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicate_vectors(df).collect()}
+        assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
 def test_vectors_of_a_large_group(spark):
     """A group of distinct near copies that holds a third of the rows keeps its links."""
     rng = np.random.default_rng(12)
