@@ -19,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.runtime import written
 from quarrylight.llm.textbytes import TextSlice, find_words, span_hashes, text_slices
 
 WINDOW = 10
 SAMPLE = 16
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20  # test items are read and searched in blocks of about so much text
+BLOCK_BYTES = 4 << 20  # test items are read and searched in blocks of about so much text
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -137,7 +138,7 @@ class FMIndex:
             live = np.flatnonzero((k < lengths) & (low < high))
             if not len(live):
                 break
-            symbol = phrases[live, phrases.shape[1] - 1 - k] + 1
+            symbol = phrases[live, phrases.shape[1] - 1 - k].astype(np.int64) + 1
             low[live] = self.less[symbol] + self.tree.rank(symbol, low[live])
             high[live] = self.less[symbol] + self.tree.rank(symbol, high[live])
         return low, np.maximum(low, high)
@@ -163,25 +164,33 @@ class Phrases:
     keys: np.ndarray  # sorted hashes of the vocabulary; symbol = place + 1
     rows: np.ndarray  # windows by distinct content, padded at the front
     lengths: np.ndarray
-    items: list[list[str]]  # of each window, the items that hold it
+    names: list[str]  # of the items
+    first: np.ndarray  # window w stands in the items items[first[w] : first[w + 1]]
+    items: np.ndarray
 
 
 def phrases_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
-    found: dict[tuple[int, ...], set[str]] = {}
-    for name, text in items:
-        raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-        words = find_words(TextSlice(0, raw, np.array([0, len(raw)])))
-        h = span_hashes(raw, words.starts, words.ends).tolist()
-        for k in range(max(1, len(h) - window + 1) if h else 0):
-            own = found.setdefault(tuple(h[k : k + window]), set())
-            if name is not None:
-                own.add(name)
-    keys = np.unique(np.array([x for w in found for x in w], np.uint64))
-    lengths = np.array([len(w) for w in found], np.int64)
-    rows = np.zeros((len(found), window), np.int64)
-    for k, w in enumerate(found):
-        rows[k, window - len(w) :] = np.searchsorted(keys, np.array(w, np.uint64)) + 1
-    return Phrases(keys, rows, lengths, [sorted(x) for x in found.values()])
+    pieces = list(text_slices(pa.array([text or "" for _, text in items], pa.large_string()), 1 << 62))
+    if not pieces:
+        return Phrases(np.zeros(0, np.uint64), np.zeros((0, window), np.int32), np.zeros(0, np.int64), [], np.zeros(1, np.int64), np.zeros(0, np.int64))
+    words = find_words(pieces[0])
+    keys, symbol = np.unique(span_hashes(pieces[0].data, words.starts, words.ends), return_inverse=True)
+    symbol = np.append(symbol + 1, 0).astype(np.int32)
+    sizes = np.diff(words.first)
+    counts = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0)
+    begin = np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    lengths = np.minimum(np.repeat(sizes, counts), window)
+    rows = np.zeros((len(begin), window), np.int32)
+    for k in range(window):
+        place = begin + k - (window - lengths)
+        rows[:, k] = symbol[np.where(place >= begin, place, len(symbol) - 1)]
+    _, one, which = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+    names = sorted({name for name, _ in items if name is not None})
+    code = {name: k for k, name in enumerate(names)}
+    of_item = np.repeat(np.array([-1 if name is None else code[name] for name, _ in items], np.int64), counts)
+    held = np.unique(which[of_item >= 0] * max(1, len(names)) + of_item[of_item >= 0])
+    window_of, item = np.divmod(held, max(1, len(names)))
+    return Phrases(keys, rows[one], lengths[one], names, np.searchsorted(window_of, np.arange(len(one) + 1)), item)
 
 
 @dataclass
@@ -270,7 +279,7 @@ def _search_batch(batch: pa.RecordBatch, text_at: int, phrases: Phrases | None,
             by_row = np.concatenate([[0], np.cumsum(np.bincount(row[hits.hit], minlength=len(piece)))])
             items: list[set[str]] = [set() for _ in range(len(piece))]
             for r, w in hits.pairs.tolist():
-                items[r].update(phrases.items[w])
+                items[r].update(phrases.names[k] for k in phrases.items[phrases.first[w] : phrases.first[w + 1]])
             new_hits: pa.Array = pa.ListArray.from_arrays(pa.array(by_row.astype(np.int32)), pa.array(flat.astype(np.int32)))
             if not first_block:
                 old_hits, old_items = own.column(names.index("the_hits")), own.column(names.index("the_items"))
@@ -305,31 +314,61 @@ def _cut(batch: pa.RecordBatch, at: int, hits_at: int) -> pa.RecordBatch:
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str], item_id: str, item_text: str, cut: bool) -> DataFrame:
-    """The columns k0, k1 ... of ``keep`` with the_words, the_hits and the_items: one pass for each block of items."""
+    """The columns k0, k1 ... of ``keep`` with the_words, the_hits and the_items.
+
+    The last block of items is searched in one pass that carries ``keep``; each block before it in a pass of its
+    own, of which only the rows that hit are written.  One block is held at a time, by driver and tasks.
+    """
     spark = docs.sparkSession
-    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    columns += [] if "text" in keep else [F.col("text").alias("the_text")]
-    found = docs.select(*columns, F.lit(0).cast("long").alias("the_words"), F.array().cast("array<int>").alias("the_hits"), F.array().cast("array<string>").alias("the_items"))
-    names = found.columns
     at = keep.index("text") if "text" in keep else len(keep)
-    blocks = [spark.sparkContext.broadcast(phrases_of(block, window)) for block in _item_blocks(benchmark, item_id, item_text)] or [None]
-    for number, shared in enumerate(blocks):
-        last = number == len(blocks) - 1
+    plain = docs.select(F.monotonically_increasing_id().alias("the_row"), F.lit(0).cast("long").alias("the_words"), F.array().cast("array<int>").alias("the_hits"), F.array().cast("array<string>").alias("the_items"), F.col("text").alias("the_text"))
+    earlier: DataFrame | None = None
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0, last=last) -> Iterator[pa.RecordBatch]:
+    def hits_of(shared) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for out in _search_batch(batch, at, None if shared is None else shared.value, first):
-                    yield _cut(out, at, names.index("the_hits")) if cut and last else out
+                for out in _search_batch(batch, 4, shared.value, True):
+                    yield out.filter(pc.greater(pc.list_value_length(out.column(2)), 0)).select(["the_row", "the_hits", "the_items"])
+
+        return written(plain.mapInArrow(search, "the_row long, the_hits array<int>, the_items array<string>"), "hits")
+
+    last: Phrases | None = None
+    for block in _item_blocks(benchmark, item_id, item_text):
+        if last is not None:
+            shared = spark.sparkContext.broadcast(last)  # BLOCK_BYTES of items, about
+            found = hits_of(shared)
+            shared.destroy()
+            earlier = found if earlier is None else earlier.unionByName(found)
+        last = phrases_of(block, window)
+    shared = None if last is None else spark.sparkContext.broadcast(last)  # the same
+
+    columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    columns += [] if "text" in keep else [F.col("text").alias("the_text")]
+    rows = docs.select(*columns, F.lit(0).cast("long").alias("the_words"), F.monotonically_increasing_id().alias("the_row"))
+    none = [F.array().cast("array<int>"), F.array().cast("array<string>")]
+    if earlier is None:
+        rows = rows.drop("the_row").select("*", none[0].alias("the_hits"), none[1].alias("the_items"))
+    else:
+        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        earlier = earlier.groupBy("the_row").agg(merged("the_hits"), merged("the_items"))
+        rows = rows.join(earlier, "the_row", "left").drop("the_row").withColumns({c: F.coalesce(c, n) for c, n in zip(("the_hits", "the_items"), none)})
+    names, first = rows.columns, earlier is None
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in _search_batch(batch, at, None if shared is None else shared.value, first):
+                yield _cut(out, at, names.index("the_hits")) if cut else out
 
-        found = found.mapInArrow(search, found.schema)
-    return found
+    return rows.mapInArrow(search, rows.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add n_words, n_hit, items (array of item ids, as strings) and hit_words (places of hit words) to ``docs``.
 
     ``keep`` names the columns of ``docs`` to carry; ``text`` must be one of ``docs``.  The benchmark is
-    read in blocks of BLOCK_BYTES, one pass over the shards for each, so no task holds more than one.
+    read in blocks of BLOCK_BYTES, one pass over the shards for each; driver and tasks hold one at a time.
+    With more than one, ``docs``' plan must read the same rows in the same partitions each time, as a table
+    scan does.
     Every row of ``docs`` gives one row: copies and equal ids are searched alike.  A null or empty text
     has no words.  Items without words have no windows; an item with a null id hits words but isn't named.
     """
