@@ -42,11 +42,14 @@ def metrics() -> dict[str, dict[str, Column]]:
                 "conclusoes": F.sum("conclusao"),
                 "taxa_conclusao": ratio(F.sum("conclusao"), F.sum("consumo")),
                 "avaliacao_media": F.round(F.avg("avaliacao_atribuida").cast("double"), 2),
+                "tempo_medio": ratio(F.sum("tempo_consumido"), F.count("tempo_consumido"), 2),
+                "percentual_medio": ratio(F.sum("percentual_conclusao"), F.count("percentual_conclusao"), 2),
             },
             "recommendation_conversion_rows": {
                 "total_recomendacoes": F.sum("recomendacoes"),
                 "total_convertidas": F.sum("convertidas"),
                 "taxa_conversao": ratio(F.sum("convertidas"), F.sum("recomendacoes")),
+                "positivas_pct": ratio(F.sum(F.when(F.col("status") == "Positivo", F.col("recomendacoes")).otherwise(0)) * 100, F.sum("recomendacoes"), 2),
             },
             "action_list": {"conteudos": F.count("*")},
             "quality_evolution": {"metrica_pior": F.min("metrica")},

@@ -132,6 +132,12 @@ def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(a.cast("double") / F.nullif(b, F.lit(0)).cast("double"), digits)
 
 
+def in_month(c: str, month_: str) -> Column:
+    """Whether a time without zone lies in a month (yyyy-MM), as a range that scans can push down."""
+    first = F.lit(f"{month_}-01 00:00:00").cast("timestamp_ntz")
+    return (F.col(c) >= first) & (F.col(c) < first + F.expr("INTERVAL 1 MONTH"))
+
+
 # --- vectors ---
 
 

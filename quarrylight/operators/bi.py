@@ -40,9 +40,12 @@ def ratings(interactions: DataFrame, comments: DataFrame) -> DataFrame:
 def action_list(dim: DataFrame, interactions: DataFrame, comments: DataFrame, ordered: bool = True) -> DataFrame:
     """What to do with each content by its users against the median and its mean rating."""
     used = interactions.groupBy("conteudo_mestre_id").agg(F.count_distinct("usuario_chave").alias("usuarios"), F.count("*").alias("interacoes"), F.max("data_hora").alias("ultima"))
-    middle = used.agg(F.median("usuarios").alias("mediana"))  # one row
+    # the median from counts of counts, so that no task holds a number a content
+    sizes = used.groupBy("usuarios").agg(F.count("*").alias("vezes"))
+    middle = sizes.agg(F.percentile("usuarios", 0.5, F.col("vezes")).alias("mediana"))  # one row
     rated = ratings(interactions, comments).groupBy("conteudo_mestre_id").agg(F.round(F.avg("nota"), 2).alias("nota_media"), F.count("nota").alias("qtd_notas"))
     base = dim.select("conteudo_mestre_id", "titulo", "tipo", "categoria", "nivel", "data_publicacao").join(used, "conteudo_mestre_id").join(rated, "conteudo_mestre_id", "left").crossJoin(F.broadcast(middle))
+    # The five actions and the limits of a mean rating.
     many, mean = F.col("usuarios") > F.col("mediana"), F.col("nota_media")
     action = F.when(many & (mean >= 4), "Promover").when(many & (mean < 3.5), "Revisar conteúdo").when(~many & (mean >= 4), "Divulgar").when(~many & (mean < 3.5), "Reavaliar no catálogo").otherwise("Acompanhar")
     out = base.select("conteudo_mestre_id", "titulo", "tipo", "categoria", "nivel", "usuarios", "interacoes", "nota_media", F.coalesce("qtd_notas", F.lit(0)).alias("qtd_notas"), age_months(F.to_date("ultima"), F.col("data_publicacao")).alias("meses_publicado"), action.alias("classificacao"))
@@ -68,6 +71,7 @@ class Chart:
     limit: int | None = None
 
 
+# The charts' datasets, dimensions and metrics.
 CHARTS = (
     Chart("Usuários ativos por mês", "engagement_rows", ("mes",), ("usuarios_ativos",), lag="usuarios_ativos"),
     Chart("Taxa de conclusão mensal", "engagement_rows", ("mes",), ("taxa_conclusao",)),
@@ -87,10 +91,11 @@ def _condition(column: str, operator: str, value: object) -> Column:
 
 
 def chart_query(dataset: DataFrame, chart: Chart, filters: tuple[tuple[str, str, object], ...] = ()) -> DataFrame:
-    """Metrics by dimensions.  Dashboard filters apply where the dataset has their column."""
-    for column, operator, value in (*chart.filters, *filters):
-        if column in dataset.columns:
-            dataset = dataset.where(_condition(column, operator, value))
+    """Metrics by dimensions.  Dashboard filters apply where the dataset has their column; a chart's own must fit it."""
+    if missing := {column for column, _, _ in chart.filters} - set(dataset.columns):
+        raise ValueError(f"{chart.title}: {chart.dataset} has no {', '.join(sorted(missing))}")
+    for column, operator, value in (*chart.filters, *(f for f in filters if f[0] in dataset.columns)):
+        dataset = dataset.where(_condition(column, operator, value))
     known = metrics()[chart.dataset]
     out = dataset.groupBy(*chart.dims).agg(*[known[m].alias(m) for m in chart.metrics])
     if chart.lag:

@@ -51,9 +51,12 @@ def consumption(interactions: DataFrame, correspondence: DataFrame) -> DataFrame
     return mapped.groupBy("usuario_id", "conteudo_mestre_id").agg(F.min(at).alias("primeiro_consumo"), F.max(at).alias("ultimo_consumo"), F.bool_or(F.col("tipo_interacao") == COMPLETION).alias("concluiu"))
 
 
-def fact_recommendation(recommendations: DataFrame, correspondence: DataFrame, consumed: DataFrame, key: str) -> DataFrame:
-    """``geracao_vigente``: of the user's latest generation.  Converted: consumed at any time."""
-    mapped = recommendations.join(content_map(correspondence, RECOMMENDER_SOURCE), "conteudo_id")
+def fact_recommendation(recommendations: DataFrame, correspondence: DataFrame, consumed: DataFrame, key: str, source: str | None = None) -> DataFrame:
+    """``geracao_vigente``: of the user's latest generation.  Converted: consumed at any time.
+
+    Contents are those of the recommender's catalogue, or of another ``source`` of the correspondence.
+    """
+    mapped = recommendations.join(content_map(correspondence, source or RECOMMENDER_SOURCE), "conteudo_id")
     latest = mapped.groupBy("usuario_id").agg(F.max("data_geracao").alias("ultima_geracao"))
     no = F.lit(False)
     return mapped.join(latest, "usuario_id").withColumn("vigente", F.col("data_geracao") == F.col("ultima_geracao")).join(consumed, ["usuario_id", "conteudo_mestre_id"], "left").select(

@@ -99,20 +99,42 @@ def with_master_ids(golden: DataFrame, origins: DataFrame, prior: DataFrame | No
     """Golden records with ``conteudo_mestre_id``: the least one that a member had, else the next number.
 
     ``absorvidos`` lists other master ids that a group had: masters that have become one.  New numbers go
-    by (data_publicacao, conteudo_id_canonico).
+    by (data_publicacao, conteudo_id_canonico), on from the largest one of ``prior`` and from ``last_number``,
+    the persisted end of the sequence, which also knows numbers that ``prior`` no longer holds.
     """
+    last = F.lit(last_number).cast("long")
     if prior is None:
+        ends = golden.sparkSession.range(1).select(last.alias("fim"))
         known = golden.withColumn("anteriores", F.array().cast("array<string>"))
     else:
+        ends = last_numbers(prior).select(F.greatest("ultimo_numero", last).alias("fim"))
         had = members(golden, origins).join(prior.select("fonte", "id_origem", "conteudo_mestre_id"), ["fonte", "id_origem"])
         had = had.groupBy("chave").agg(F.array_sort(F.collect_set("conteudo_mestre_id")).alias("anteriores"))
         known = golden.join(had, "chave", "left").withColumn("anteriores", F.coalesce("anteriores", F.array().cast("array<string>")))
     reused = known.where(F.size("anteriores") > 0).withColumn("conteudo_mestre_id", F.get("anteriores", F.lit(0)))
-    fresh = numbered(known.where(F.size("anteriores") == 0), [F.col("data_publicacao"), F.col("conteudo_id_canonico")], "numero", last_number + 1)
-    fresh = fresh.withColumn("conteudo_mestre_id", F.format_string("CM-%06d", "numero")).drop("numero")
+    fresh = numbered(known.where(F.size("anteriores") == 0), [F.col("data_publicacao"), F.col("conteudo_id_canonico")], "numero")
+    fresh = fresh.crossJoin(F.broadcast(ends))  # one row
+    fresh = fresh.withColumn("conteudo_mestre_id", F.format_string("CM-%06d", F.col("numero") + F.col("fim"))).drop("numero", "fim")
     return reused.unionByName(fresh).withColumn("absorvidos", F.slice("anteriores", 2, 1 << 30)).drop("anteriores")
 
 
+def last_numbers(ids: DataFrame) -> DataFrame:
+    """One row: the largest number among master ids, 0 without any."""
+    number = F.regexp_extract("conteudo_mestre_id", r"(\d+)$", 1).try_cast("long")
+    return ids.agg(F.coalesce(F.max(number), F.lit(0).cast("long")).alias("ultimo_numero"))
+
+
+def conflicts(records: DataFrame, origins: DataFrame) -> DataFrame:
+    """Conflicts between sources and between duplicates in one table, their values as JSON."""
+    both = [f(df).withColumn("valores", F.to_json("valores")) for f, df in ((source_conflicts, records), (duplicate_conflicts, origins))]
+    return both[0].unionByName(both[1])
+
+
+def golden_table(golden: DataFrame) -> DataFrame:
+    """Golden records as they are published: members and absorbed masters as JSON lists."""
+    return golden.withColumns({"membros": F.to_json("membros"), "absorvidos": F.to_json("absorvidos")})
+
+
 def correspondence(golden: DataFrame, origins: DataFrame, prior: DataFrame | None = None, seen_at=None) -> DataFrame:
     """The cross-reference of source ids and masters, upserted on an earlier one: first-seen times stay."""
     stamp = (F.current_timestamp() if seen_at is None else F.lit(seen_at)).cast("timestamp_ntz")

@@ -44,15 +44,17 @@ class Rule:
     limit: float
     severity: str  # critica or alerta
     action: str
-    masks: Callable[[Batch, str], tuple[DataFrame, Masks]] | None = None
+    masks: Callable[[Batch, str, DataFrame], tuple[DataFrame, Masks]] | None = None
     counts: Callable[[int, int, int], tuple[int, int, float]] | None = None
 
     def passes(self, metric: float) -> bool:
         return metric >= self.limit if self.operator == ">=" else metric <= self.limit
 
 
-def completeness(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
-    df = batch.sources[source]
+# each takes the source's rows, may add columns to them, and names what may be wrong with a row
+
+
+def completeness(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
     empty = lambda c: F.col(f"raw_{c}").isNull() | (F.trim(F.col(f"raw_{c}")) == "")
     return df, {f"{c} vazio": empty(c) for c in CONTRACTS[source].required}
 
@@ -61,8 +63,8 @@ def outside(c: str, low: float, high: float) -> Column:
     return ~F.col(c).between(low, high)
 
 
-def validity(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
-    df, contract = batch.sources[source], CONTRACTS[source]
+def validity(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
+    contract = CONTRACTS[source]
     masks: Masks = {f"{f.name} em formato inválido": F.col(f"raw_{f.name}").isNotNull() & F.col(f.name).isNull() for f in contract.schema if not isinstance(f.dataType, T.StringType)}
     masks |= {f"{c} fora do domínio": ~F.col(c).isin(*values) for c, values in contract.domains.items()}
     masks[f"{contract.event_date} posterior à ingestão"] = F.col(contract.event_date).cast("timestamp_ntz") > F.col("data_ingestao")
@@ -75,28 +77,28 @@ def validity(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
     return df, masks
 
 
-def uniqueness(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
+def uniqueness(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
     key = CONTRACTS[source].key
-    df = with_key_stats(batch.sources[source], list(key), "ordinal")
+    df = with_key_stats(df, list(key), "ordinal")
     return df, {f"chave duplicada ({', '.join(key)})": F.col("ordinal") > F.col("primeiro")}
 
 
-def references(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
+def references(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
     contents = batch.catalogue.select("conteudo_id", F.lit(True).alias("tem_conteudo")).where("conteudo_id IS NOT NULL").distinct()
     users = batch.users.select("usuario_id", F.lit(True).alias("tem_usuario")).distinct()
-    df = batch.sources[source].join(contents, "conteudo_id", "left").join(users, "usuario_id", "left")
+    df = df.join(contents, "conteudo_id", "left").join(users, "usuario_id", "left")
     return df, {"conteudo_id ausente no catálogo": F.col("tem_conteudo").isNull(), "usuario_id ausente dos usuários": F.col("tem_usuario").isNull()}
 
 
-def business(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
+def business(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
     kind = F.col("tipo_interacao")
     done, whole = F.coalesce(kind == COMPLETION, F.lit(False)), F.coalesce(F.col("percentual_conclusao") == 100, F.lit(False))
-    return batch.sources[source], {"conclusão sem percentual 100 ou 100% sem conclusão": done != whole, "avaliação sem nota atribuída": (kind == RATING) & F.col("avaliacao_atribuida").isNull()}
+    return df, {"conclusão sem percentual 100 ou 100% sem conclusão": done != whole, "avaliação sem nota atribuída": (kind == RATING) & F.col("avaliacao_atribuida").isNull()}
 
 
-def temporal(batch: Batch, source: str) -> tuple[DataFrame, Masks]:
+def temporal(batch: Batch, source: str, df: DataFrame) -> tuple[DataFrame, Masks]:
     published = batch.catalogue.groupBy("conteudo_id").agg(F.min_by("data_publicacao", "ordinal").alias("publicado_em"))
-    df = batch.sources[source].join(published, "conteudo_id", "left")
+    df = df.join(published, "conteudo_id", "left")
     date = CONTRACTS[source].event_date
     return df, {f"{date} anterior à publicação do conteúdo": F.to_date(date) < F.col("publicado_em")}
 
@@ -110,6 +112,7 @@ def quarantine_rate(bronze: int, silver: int, quarantine: int) -> tuple[int, int
     return bronze, quarantine, 100 * quarantine / bronze if bronze else 100.0
 
 
+# The rules' ids, dimensions, limits and severities.
 ALL, EVENTS = ("catalogo", "interacoes", "comentarios"), ("interacoes", "comentarios")
 RULES = (
     Rule("QD01", "completude", "registros sem campo obrigatório vazio / registros", ALL, ">=", 100, "critica", "bloquear", completeness),
@@ -125,16 +128,25 @@ RULES = (
 
 def violations(batch: Batch, rule: Rule, source: str) -> DataFrame:
     """Rows with ``violado`` and ``mensagem``, what they violate of a rule."""
-    df, masks = rule.masks(batch, source)
+    df, masks = rule.masks(batch, source, batch.sources[source])
     texts = F.array_compact(F.array(*[F.when(F.coalesce(m, F.lit(False)), F.lit(name)) for name, m in masks.items()]))
     return df.withColumn("violado", any_of(list(masks.values()))).withColumn("mensagem", F.array_join(texts, "; "))
 
 
-def metric_row(batch: Batch, rule: Rule, source: str) -> DataFrame:
-    """One row: id_regra, fonte, avaliados, violados and metrica, 100 for an empty source."""
-    rows, bad = F.count("*"), F.count_if("violado")
-    metric = F.when(rows == 0, 100.0).otherwise(F.round(100.0 * (rows - bad) / F.greatest(rows, F.lit(1)), 3))
-    return violations(batch, rule, source).agg(rows.alias("avaliados"), bad.alias("violados"), metric.alias("metrica")).select(F.lit(rule.id).alias("id_regra"), F.lit(source).alias("fonte"), "avaliados", "violados", "metrica")
+def metric_rows(batch: Batch, source: str, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """id_regra, fonte, avaliados, violados and metrica of a source's row rules: one pass and one aggregate.
+
+    The metric of an empty source is 100.
+    """
+    df, flags = batch.sources[source], {}
+    for rule in RULES if rules is None else rules:
+        if rule.masks and source in rule.sources:
+            df, masks = rule.masks(batch, source, df)
+            flags[rule.id] = any_of(list(masks.values()))
+    counts = df.agg(F.count("*").alias("avaliados"), *[F.count_if(flag).alias(name) for name, flag in flags.items()])
+    each = counts.select("avaliados", F.inline(F.array(*[F.struct(F.lit(name).alias("id_regra"), F.col(name).alias("violados")) for name in flags])))
+    metric = F.when(F.col("avaliados") == 0, 100.0).otherwise(F.round(100.0 * (F.col("avaliados") - F.col("violados")) / F.greatest("avaliados", F.lit(1)), 3))
+    return each.select("id_regra", F.lit(source).alias("fonte"), "avaliados", "violados", metric.alias("metrica"))
 
 
 def sample_of(batch: Batch, rule: Rule, source: str, rows: int = SAMPLE) -> DataFrame:
@@ -158,12 +170,14 @@ class Result:
 
 def run_rules(batch: Batch, rules: tuple[Rule, ...] = RULES) -> list[Result]:
     """All rules of a batch.  One small row comes back for each rule and source, and at most SAMPLE violations."""
-    sizes = {name: df.count() for name, df in batch.sources.items()}
+    sizes, found = {name: df.count() for name, df in batch.sources.items()}, {}
+    for source in batch.sources:
+        found |= {(r["id_regra"], source): r for r in metric_rows(batch, source, rules).collect()}
     out = []
     for rule in rules:
         for source in rule.sources:
             if rule.masks:
-                r = metric_row(batch, rule, source).first()
+                r = found[rule.id, source]
                 evaluated, violated, metric = r["avaliados"], r["violados"], r["metrica"]
                 sample = [x.asDict() for x in sample_of(batch, rule, source).collect()] if violated else []
             else:
@@ -175,6 +189,15 @@ def run_rules(batch: Batch, rules: tuple[Rule, ...] = RULES) -> list[Result]:
     return out
 
 
+def gate_run(history: DataFrame, run: str | None = None) -> DataFrame:
+    """Of (id_execucao, situacao, simulada, fim, ...) rows, the run of this id, else the one real run that ended last.
+
+    At most one row; of equal ends the larger id's.
+    """
+    rows = history.where(F.col("id_execucao") == run) if run is not None else history.where(~F.col("simulada") & F.col("fim").isNotNull())
+    return rows.orderBy(F.desc("fim"), F.desc("id_execucao")).limit(1)
+
+
 def status(results: list[Result]) -> str:
     if any(not r.passed and r.severity == "critica" for r in results):
         return FAILED

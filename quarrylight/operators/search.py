@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -58,7 +59,14 @@ def search(embeddings: DataFrame, text: str, embed: Callable[[list[str]], list[l
 
 
 def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
-    """(conteudo_id, embedding) by batches; a batch that fails gives nulls, a wrong length too."""
+    """(conteudo_id, embedding) of unit length by batches; a batch that fails gives nulls, a wrong length too.
+    A zero vector stays zero."""
+
+    def unit(vector: list[float] | None) -> list[float] | None:
+        if vector is None or len(vector) != dimension:
+            return None
+        size = math.sqrt(sum(x * x for x in vector))
+        return [x / size for x in vector] if size else list(vector)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -66,7 +74,7 @@ def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim
                 vectors = embed(batch["texto"].tolist())
             except Exception:
                 vectors = [None] * len(batch)
-            yield pd.DataFrame({"conteudo_id": batch["conteudo_id"], "embedding": [v if v is not None and len(v) == dimension else None for v in vectors]})
+            yield pd.DataFrame({"conteudo_id": batch["conteudo_id"], "embedding": [unit(v) for v in vectors]})
 
     return df.select("conteudo_id", "texto").mapInPandas(run, f"conteudo_id {df.schema['conteudo_id'].dataType.simpleString()}, embedding array<double>")
 

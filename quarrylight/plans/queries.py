@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.scalars import candidate_key, capitalised, comma_decimal, json_list, match_key, month, norm, pseudonym, ratio, salted_pseudonym, trimmed
+from quarrylight.functions.scalars import candidate_key, capitalised, comma_decimal, in_month, json_list, match_key, month, norm, pseudonym, ratio, salted_pseudonym, trimmed
 from quarrylight.operators import bi, documents, engagement, gold, layers, master, quality, recommend, search, validation
 from quarrylight.plans.standins import CONSUMED_SQL, KEY, Entities, pseudonym_sql, with_ctes
+from quarrylight.session import written
 from quarrylight.sources import sinks
-from quarrylight.sources.contracts import INTERACTION
+from quarrylight.sources.contracts import CATALOGUE, COMMENT, INTERACTION, Contract
 from quarrylight.sources.readers import typed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +43,14 @@ def engagement_by_bucket_category(e: Entities) -> DataFrame:
     return engagement.engagement_by_month_category(e.interactions, e.catalogue)
 
 
-@query("SELECT count(*) FILTER (WHERE categoria IS NULL) AS nao_catalogadas, count(*) AS lidas FROM interacao LEFT JOIN catalogo USING (conteudo_id)", "interacao", "catalogo")
+@query("SELECT count(*) FILTER (WHERE categoria IS NULL) AS nao_catalogadas, count(*) AS lidas FROM interacao LEFT JOIN catalogo_parcial USING (conteudo_id)", "interacao", "catalogo_parcial")
 def engagement_uncatalogued(e: Entities) -> DataFrame:
-    return engagement.missing_from_catalogue(e.interactions, e.catalogue)
+    return engagement.missing_from_catalogue(e.interactions, e.part_catalogue)
+
+
+@query(f"SELECT strftime(data_hora, '%Y-%m') AS ano_mes, coalesce(categoria, 'Não catalogado') AS categoria, {_MEASURES} FROM interacao LEFT JOIN catalogo_parcial USING (conteudo_id) GROUP BY 1, 2", "interacao", "catalogo_parcial")
+def engagement_part_catalogue(e: Entities) -> DataFrame:
+    return engagement.engagement_by_month_category(e.interactions, e.part_catalogue)
 
 
 _KPI = """SELECT ano_mes, count(*) AS total_interacoes, count(DISTINCT usuario_chave) AS usuarios_ativos, count(DISTINCT conteudo_mestre_id) AS conteudos_consumidos, count(*) FILTER (WHERE eh_consumo) AS interacoes_consumo, count(*) FILTER (WHERE eh_conclusao) AS conclusoes,
@@ -161,6 +167,16 @@ def action_list(e: Entities) -> DataFrame:
     return bi.action_list(e.dim_content, e.fact_interaction, e.fact_comment)
 
 
+@query(f"SELECT tipo, round(CAST(sum(tempo_consumido) AS DOUBLE) / count(tempo_consumido), 2) AS tempo_medio, round(CAST(sum(percentual_conclusao) AS DOUBLE) / count(percentual_conclusao), 2) AS percentual_medio FROM ({_ENGAGEMENT_ROWS}) GROUP BY 1", "fato_interacao", "dim_conteudo")
+def operational_means(e: Entities) -> DataFrame:
+    return bi.chart_query(engagement_rows(e), bi.Chart("", "engagement_rows", ("tipo",), ("tempo_medio", "percentual_medio")))
+
+
+@query(f"SELECT faixa_posicao, round(100.0 * sum(CASE WHEN status = 'Positivo' THEN recomendacoes ELSE 0 END) / sum(recomendacoes), 2) AS positivas_pct FROM ({_CONVERSION_ROWS}) GROUP BY 1", "fato_recomendacao", "dim_conteudo")
+def positive_share(e: Entities) -> DataFrame:
+    return bi.chart_query(recommendation_conversion_rows(e), bi.Chart("", "recommendation_conversion_rows", ("faixa_posicao",), ("positivas_pct",)))
+
+
 @query(_NOTES, "fato_interacao", "fato_comentario")
 def union_notes(e: Entities) -> DataFrame:
     return bi.ratings(e.fact_interaction, e.fact_comment)
@@ -257,12 +273,28 @@ def text_interactions(e: Entities) -> DataFrame:
     )
 
 
+_AUDIT_COLUMNS = {"origem": "lote", "data_ingestao": "2025/01/01 00:00:00.000", "id_execucao": "run-1"}
+
+
+def _both(text: DataFrame, contract: Contract) -> DataFrame:
+    """Text as read from a file beside its typed form."""
+    text = text.withColumns({k: F.lit(v) for k, v in _AUDIT_COLUMNS.items() if k not in text.columns})
+    typed_ = [typed(F.col(f.name), f, contract.formats.get(f.name), True).alias(f.name) for f in contract.schema]
+    return text.select("ordinal", *[F.col(n).alias(f"raw_{n}") for n in contract.schema.names], *typed_)
+
+
 def batch_of(e: Entities) -> quality.Batch:
-    text = text_interactions(e)
-    typed_ = [typed(F.col(f.name), f, INTERACTION.formats.get(f.name), True).alias(f.name) for f in INTERACTION.schema]
-    frame = text.select("ordinal", *[F.col(n).alias(f"raw_{n}") for n in INTERACTION.schema.names], *typed_)
-    catalogue = e.catalogue.withColumn("ordinal", F.col("conteudo_id").cast("long"))
-    return quality.Batch({"interacoes": frame, "catalogo": catalogue}, e.users)
+    """All sources as text, with planted defects."""
+    c, at = e.catalogue, F.col("conteudo_id")
+    catalogue = c.select(
+        at.cast("long").alias("ordinal"), *[F.col(n).cast("string").alias(n) for n in c.columns if n not in ("titulo", "nivel")],
+        F.when(at % 97 == 0, " ").otherwise(F.col("titulo")).alias("titulo"), F.when(at % 89 == 0, "Expert").otherwise(F.col("nivel")).alias("nivel"),
+    )
+    comments = e.comments.select(
+        "ordinal", *[F.col(n).cast("string").alias(n) for n in ("usuario_id", "conteudo_id", "tags", "data")],
+        F.when(F.col("ordinal") % 71 == 0, 7).otherwise(F.col("avaliacao")).cast("string").alias("avaliacao"), F.coalesce("comentario", F.lit("")).alias("comentario"),
+    )
+    return quality.Batch({"catalogo": _both(catalogue, CATALOGUE), "interacoes": _both(text_interactions(e), INTERACTION), "comentarios": _both(comments, COMMENT)}, e.users)
 
 
 @query(
@@ -276,12 +308,33 @@ UNION ALL SELECT 'QD06', count(*), count(*) FILTER (WHERE CAST(data_hora AS DATE
     "interacao", "catalogo", "usuario",
 )
 def quality_metrics(e: Entities) -> DataFrame:
-    batch, out = batch_of(e), None
-    for rule in quality.RULES:
-        if rule.masks and "interacoes" in rule.sources:
-            row = quality.metric_row(batch, rule, "interacoes")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return quality.metric_rows(batch_of(e), "interacoes")
+
+
+@query(
+    """SELECT id_regra, 'catalogo' AS fonte, avaliados, violados, round(100.0 * (avaliados - violados) / avaliados, 3) AS metrica FROM (
+SELECT 'QD01' AS id_regra, count(*) AS avaliados, count(*) FILTER (WHERE conteudo_id % 97 = 0) AS violados FROM catalogo
+UNION ALL SELECT 'QD02', count(*), count(*) FILTER (WHERE conteudo_id % 89 = 0 OR carga_horaria_min <= 0) FROM catalogo UNION ALL SELECT 'QD03', count(*), count(*) - count(DISTINCT conteudo_id) FROM catalogo)""",
+    "catalogo",
+)
+def quality_catalogue(e: Entities) -> DataFrame:
+    return quality.metric_rows(batch_of(e), "catalogo")
+
+
+_NOTED_SQL = "(SELECT ordinal, usuario_id, conteudo_id, CASE WHEN ordinal % 71 = 0 THEN 7 ELSE avaliacao END AS nota, coalesce(comentario, '') AS texto, tags, data FROM comentario)"
+
+
+@query(
+    f"""SELECT id_regra, 'comentarios' AS fonte, avaliados, violados, round(100.0 * (avaliados - violados) / avaliados, 3) AS metrica FROM (
+SELECT 'QD01' AS id_regra, count(*) AS avaliados, count(*) FILTER (WHERE trim(texto) = '' OR tags IS NULL) AS violados FROM {_NOTED_SQL}
+UNION ALL SELECT 'QD02', count(*), count(*) FILTER (WHERE nota NOT BETWEEN 1 AND 5) FROM {_NOTED_SQL}
+UNION ALL SELECT 'QD03', count(*), count(*) FILTER (WHERE vez > 1) FROM (SELECT row_number() OVER (PARTITION BY usuario_id, conteudo_id, data, texto ORDER BY ordinal) AS vez FROM {_NOTED_SQL})
+UNION ALL SELECT 'QD04', count(*), count(*) FILTER (WHERE c.conteudo_id IS NULL OR u.usuario_id IS NULL) FROM {_NOTED_SQL} t LEFT JOIN catalogo c ON c.conteudo_id = t.conteudo_id LEFT JOIN usuario u ON u.usuario_id = t.usuario_id
+UNION ALL SELECT 'QD06', count(*), count(*) FILTER (WHERE t.data < c.data_publicacao) FROM {_NOTED_SQL} t LEFT JOIN catalogo c ON c.conteudo_id = t.conteudo_id)""",
+    "comentario", "catalogo", "usuario",
+)
+def quality_comments(e: Entities) -> DataFrame:
+    return quality.metric_rows(batch_of(e), "comentarios")
 
 
 _SPLIT_SQL = f"""(SELECT ordinal, coalesce(regra, CASE WHEN row_number() OVER (PARTITION BY usuario_id, conteudo_id, tipo_interacao, data_hora, CASE WHEN regra IS NULL THEN -1 ELSE ordinal END ORDER BY ordinal) > 1 THEN 'DUPLICIDADE' END) AS regra_violada FROM
@@ -295,12 +348,32 @@ def silver_split(e: Entities) -> DataFrame:
     return layers.classify(rows, INTERACTION, e.catalogue, e.users).select("ordinal", "regra_violada")
 
 
-@query(f"SELECT count(*) FILTER (WHERE regra_violada IS NULL) AS silver, count(*) FILTER (WHERE regra_violada IS NOT NULL) AS quarentena, count(*) AS bronze, round(100.0 * count(*) FILTER (WHERE regra_violada IS NOT NULL) / count(*), 3) AS taxa_quarentena FROM {_SPLIT_SQL}", "interacao", "catalogo", "usuario")
+@query(
+    f"""SELECT 'QD07' AS id_regra, count(*) AS avaliados, count(*) - (SELECT count(*) FROM interacao) AS violados, 100.0 * (SELECT count(*) FROM interacao) / count(*) AS metrica FROM {_SPLIT_SQL}
+UNION ALL SELECT 'QD08', count(*), count(*) FILTER (WHERE regra_violada IS NOT NULL), round(100.0 * count(*) FILTER (WHERE regra_violada IS NOT NULL) / count(*), 3) FROM {_SPLIT_SQL}""",
+    "interacao", "catalogo", "usuario",
+)
 def quality_volume(e: Entities) -> DataFrame:
-    rows = batch_of(e).sources["interacoes"]
-    kept, bad = layers.silver_split(rows, INTERACTION, e.catalogue, e.users)
-    both = kept.agg(F.count("*").alias("silver")).crossJoin(bad.agg(F.count("*").alias("quarentena"))).crossJoin(rows.agg(F.count("*").alias("bronze")))
-    return both.withColumn("taxa_quarentena", F.round(F.lit(100.0) * F.col("quarentena") / F.col("bronze"), 3))
+    """The gate's rules on counts, from one aggregate over the split."""
+    rows = layers.classify(batch_of(e).sources["interacoes"], INTERACTION, e.catalogue, e.users)
+    n = rows.agg(F.count_if(F.col("regra_violada").isNull()).alias("silver"), F.count_if(F.col("regra_violada").isNotNull()).alias("quarentena")).first()  # one row
+    bronze = e.interactions.count()
+    found = [(r.id, *r.counts(bronze, n["silver"], n["quarentena"])) for r in quality.RULES if r.counts]
+    return e.spark.createDataFrame([(i, a, b, round(m, 3)) for i, a, b, m in found], "id_regra string, avaliados long, violados long, metrica double")
+
+
+_RUNS_SQL = "(SELECT 'run-' || CAST(event_id AS VARCHAR) AS id_execucao, CASE WHEN event_type = 'error' THEN 'falha' ELSE 'sucesso' END AS situacao, event_type = 'view' AS simulada, CASE WHEN event_id % 11 <> 0 THEN date_trunc('hour', ts) END AS fim FROM events)"
+
+
+@query(f"SELECT 'ultima' AS busca, id_execucao, situacao, fim FROM (SELECT * FROM {_RUNS_SQL} WHERE NOT simulada AND fim IS NOT NULL ORDER BY fim DESC, id_execucao DESC LIMIT 1) UNION ALL SELECT 'por id', id_execucao, situacao, fim FROM {_RUNS_SQL} WHERE id_execucao = 'run-7'")
+def gate_lookup(e: Entities) -> DataFrame:
+    kind = F.col("event_type")
+    runs = e.table("events").select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("id_execucao"), F.when(kind == "error", "falha").otherwise("sucesso").alias("situacao"), (kind == "view").alias("simulada"),
+        F.when(F.col("event_id") % 11 != 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).alias("fim"),
+    )
+    both = quality.gate_run(runs).withColumn("busca", F.lit("ultima")).unionByName(quality.gate_run(runs, "run-7").withColumn("busca", F.lit("por id")))
+    return both.select("busca", "id_execucao", "situacao", "fim")
 
 
 @query(f"SELECT regra_violada, count(*) AS linhas FROM {_SPLIT_SQL} WHERE regra_violada IS NOT NULL GROUP BY 1", "interacao", "catalogo", "usuario")
@@ -333,6 +406,11 @@ def quality_worst(e: Entities) -> DataFrame:
     return quality.worst_by_rule(_history(e))
 
 
+@query(f"SELECT id_execucao, id_regra, min(metrica) AS metrica_pior FROM {_WORST_SQL} GROUP BY 1, 2")
+def chart_quality(e: Entities) -> DataFrame:
+    return bi.chart_query(quality_worst(e), bi.CHARTS[7])
+
+
 @query(f"SELECT id_execucao, " + ", ".join(f"max(metrica) FILTER (WHERE id_regra = '{r}') AS {r}" for r in ("click", "error", "purchase", "signup", "view")) + f" FROM {_WORST_SQL} GROUP BY 1")
 def quality_evolution(e: Entities) -> DataFrame:
     return quality.evolution(quality_worst(e), ["click", "error", "purchase", "signup", "view"])
@@ -458,6 +536,22 @@ def master_ids_reused(e: Entities) -> DataFrame:
     return found.select("chave", F.when(F.col("conteudo_mestre_id") > "CM-1000000", "novo").otherwise(F.col("conteudo_mestre_id")).alias("conteudo_mestre_id"), F.size("absorvidos").cast("long").alias("absorvidos"))
 
 
+_FIRST_RUN = "conteudo_id % 3 <> 0"
+
+
+@query(
+    f"""SELECT g.chave, coalesce(f.id, 'CM-' || lpad(CAST((SELECT count(DISTINCT chave) FROM origem WHERE {_FIRST_RUN}) + row_number() OVER (PARTITION BY f.id IS NULL ORDER BY g.data_publicacao, g.conteudo_id_canonico) AS VARCHAR), 6, '0')) AS conteudo_mestre_id FROM grupo g
+LEFT JOIN (SELECT chave, 'CM-' || lpad(CAST(row_number() OVER (ORDER BY min(data_publicacao), arg_min(conteudo_id, (data_publicacao, conteudo_id))) AS VARCHAR), 6, '0') AS id FROM origem WHERE {_FIRST_RUN} GROUP BY chave) f USING (chave)""",
+    "grupo", "origem",
+)
+def master_ids_second_run(e: Entities) -> DataFrame:
+    """Contents that came after a first run get numbers beyond its own; all others keep theirs."""
+    before = master.resolved(e.records.where(_FIRST_RUN))
+    first = written(master.with_master_ids(master.consolidated(before), before), "ouro")
+    prior = written(master.correspondence(first, before), "mapa")
+    return master.with_master_ids(master.consolidated(e.origins), e.origins, prior).select("chave", "conteudo_mestre_id")
+
+
 @query("SELECT fonte, id_origem, conteudo_mestre_id, regra FROM mapa", "mapa")
 def master_members(e: Entities) -> DataFrame:
     return e.correspondence
@@ -487,9 +581,10 @@ def delete_keys(e: Entities) -> DataFrame:
     return sinks.delete_keys(p.drop("p_size"), p.where("p_size < 10"), ["p_partkey"])
 
 
-@query("SELECT usuario_id, conteudo_id, tipo_interacao FROM interacao WHERE strftime(data_hora, '%Y-%m') = '2024-03'", "interacao")
+@query("SELECT event_id, user_id, event_type FROM events WHERE strftime(ts, '%Y-%m') = '2024-01'")
 def month_prune(e: Entities) -> DataFrame:
-    return e.interactions.withColumn("ano_mes", month("data_hora")).where(F.col("ano_mes") == "2024-03").select("usuario_id", "conteudo_id", "tipo_interacao")
+    """A month as a range of the stored time, which reaches the files' statistics."""
+    return e.table("events").where(in_month("ts", "2024-01")).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
@@ -558,9 +653,9 @@ def category_comments(e: Entities) -> DataFrame:
     return documents.by_category(documents.enriched(e.documents, e.catalogue)[0])
 
 
-@query("SELECT ordinal, conteudo_id FROM comentario WHERE conteudo_id NOT IN (SELECT conteudo_id FROM catalogo)", "comentario", "catalogo")
+@query("SELECT ordinal, conteudo_id FROM comentario WHERE conteudo_id NOT IN (SELECT conteudo_id FROM catalogo_parcial)", "comentario", "catalogo_parcial")
 def comments_rejected(e: Entities) -> DataFrame:
-    return documents.enriched(e.documents, e.catalogue)[1].select("ordinal", "conteudo_id")
+    return documents.enriched(e.documents, e.part_catalogue)[1].select("ordinal", "conteudo_id")
 
 
 @query("SELECT tag, count(*) AS total FROM (SELECT unnest(lista_tags) AS tag FROM comentario) GROUP BY 1 ORDER BY total DESC, tag LIMIT 10", "comentario")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators import gold, master
+from quarrylight.session import written
 from quarrylight.sources.contracts import KINDS, LEVELS
 
 KEY = "key-of-the-test-tables"
@@ -40,6 +41,11 @@ class Entities:
 
     @cached_property
     def catalogue(self) -> DataFrame:
+        return self.raw_catalogue.drop("p_size")
+
+    @cached_property
+    def part_catalogue(self) -> DataFrame:
+        """A catalogue without the small parts, for what deals with contents that aren't in it."""
         return self.raw_catalogue.where("p_size >= 10").drop("p_size")
 
     @cached_property
@@ -86,12 +92,13 @@ class Entities:
 
     @cached_property
     def golden(self) -> DataFrame:
-        return master.with_master_ids(master.consolidated(self.origins), self.origins)
+        # a table, as facts and dimensions read it several times
+        return written(master.with_master_ids(master.consolidated(self.origins), self.origins), "ouro")
 
     @cached_property
     def correspondence(self) -> DataFrame:
         rows = master.members(self.golden, self.origins).join(self.golden.select("chave", "conteudo_mestre_id"), "chave")
-        return rows.select("fonte", "id_origem", "conteudo_mestre_id", "regra")
+        return written(rows.select("fonte", "id_origem", "conteudo_mestre_id", "regra"), "mapa")
 
     @cached_property
     def recommendations(self) -> DataFrame:
@@ -159,7 +166,8 @@ CONSUMED_SQL = "tipo_interacao IN ('início', 'visualização', 'conclusão')"
 #: Name -> (names it builds on, its query).
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "catalogo": ((), f"""SELECT CAST(p_partkey AS INTEGER) AS conteudo_id, p_name AS titulo, ({_listed(KINDS)})[p_size % 4 + 1] AS tipo, p_type AS categoria, ({_listed(LEVELS)})[p_size % 3 + 1] AS nivel, CAST(p_size * 5 AS INTEGER) AS carga_horaria_min,
-        DATE '2023-12-20' + CAST(p_partkey % 40 AS INTEGER) AS data_publicacao, 'Sobre ' || p_name AS descricao, p_brand AS autor FROM part WHERE p_size >= 10"""),
+        DATE '2023-12-20' + CAST(p_partkey % 40 AS INTEGER) AS data_publicacao, 'Sobre ' || p_name AS descricao, p_brand AS autor FROM part"""),
+    "catalogo_parcial": (("catalogo",), "SELECT * FROM catalogo WHERE conteudo_id IN (SELECT p_partkey FROM part WHERE p_size >= 10)"),
     "interacao": ((), f"""SELECT event_id AS ordinal, CAST(user_id AS INTEGER) AS usuario_id, CAST(props->>'$.k' AS INTEGER) AS conteudo_id, {_KIND_CASE} AS tipo_interacao, ts + to_days(CAST(event_id % 8 AS INTEGER) * 30) AS data_hora,
         CAST(round(abs(value), 2) AS DECIMAL(12,2)) AS tempo_consumido, CAST(CASE WHEN event_type = 'purchase' THEN 100 ELSE event_id % 100 END AS DECIMAL(5,2)) AS percentual_conclusao,
         nullif(CAST(props->>'$.k' AS INTEGER) % 6, 0) AS avaliacao_atribuida, '{RUN}' AS id_execucao FROM events"""),

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators import engagement, gold, layers, master, quality
+from quarrylight.operators import engagement, gold, layers, master, quality, validation
 from quarrylight.sources import sinks
 from quarrylight.sources.contracts import CATALOGUE, COMMENT, INTERACTION, Contract
 from quarrylight.sources.readers import exists, fs_path, read_json_array, read_text_csv, typed
@@ -94,6 +94,7 @@ class Sources:
     catalogue: str  # CSV
     interactions: str  # JSON array
     comments: str  # JSON array
+    recommender: DataFrame | None = None  # the recommender's own catalogue: conteudo_id and the catalogue's attributes
 
 
 def raw_layer(spark: SparkSession, sources: Sources, run: str) -> dict[str, DataFrame]:
@@ -122,6 +123,29 @@ class Outcome:
     times: dict[str, float] = field(default_factory=dict)
 
 
+def silver_paths(out: str) -> dict[str, str]:
+    return {c.name: f"{out}/silver/{c.name}" for c in (CATALOGUE, INTERACTION, COMMENT)}
+
+
+def require_validated(spark: SparkSession, out: str, run: str | None = None) -> str:
+    """The id of the gate's run that lets ``out`` be published: of this id, else the latest real one.
+
+    Raises where there is none, where it failed or where the validated layer has changed since.
+    """
+    path = f"{out}/qualidade_execucao"
+    found = quality.gate_run(spark.read.parquet(path), run).collect() if exists(spark, path) else []  # one row
+    if not found:
+        raise quality.GateClosed(f"no run of the gate{f' {run}' if run else ''}")
+    r = found[0]
+    if r["situacao"] == quality.FAILED:
+        raise quality.GateClosed(f"run {r['id_execucao']} failed")
+    if missing := [name for name, p in silver_paths(out).items() if not exists(spark, p)]:
+        raise quality.GateClosed(f"not validated: {', '.join(missing)}")
+    if fingerprint(spark, silver_paths(out)) != r["impressao"]:
+        raise quality.GateClosed(f"the validated layer has changed since run {r['id_execucao']}")
+    return r["id_execucao"]
+
+
 def run_workflow(spark: SparkSession, sources: Sources, users: DataFrame, recommendations: DataFrame, out: str, key: str, run: str | None = None, prior: DataFrame | None = None) -> Outcome:
     """All layers in order under one run id.  A closed gate raises and leaves the published tables as they were."""
     if not key:
@@ -143,33 +167,54 @@ def run_workflow(spark: SparkSession, sources: Sources, users: DataFrame, recomm
     with stage("quality", times):
         batch = quality.Batch(silver, users, {n: df.count() for n, df in raw.items()}, {n: df.count() for n, df in rejected.items()})
         results = quality.run_rules(batch)
+        print_, verdict = fingerprint(spark, silver_paths(out)), quality.status(results)
+        ended = spark.createDataFrame([(run, verdict, False, print_)], "id_execucao string, situacao string, simulada boolean, impressao string").withColumn("fim", F.current_timestamp())
+        sinks.append(ended, f"{out}/qualidade_execucao")
         sinks.append(spark.createDataFrame([(run, r.rule, r.source, r.evaluated, r.violated, r.metric, r.passed) for r in results], "id_execucao string, id_regra string, fonte string, avaliados long, violados long, metrica double, aprovado boolean"), f"{out}/qualidade")
         status = quality.require_open(results)
     typed_ = {c.name: c.conformed(silver[c.name]) for c in (CATALOGUE, INTERACTION, COMMENT)}
     with stage("master", times):
-        origins = master.resolved(master.tagged({"silver_catalogo": typed_["catalogo"], "d1_postgres": typed_["catalogo"]}))
-        golden = master.with_master_ids(master.consolidated(origins), origins, prior)
-        links = master.correspondence(golden, origins, prior)
+        for contract in (CATALOGUE, INTERACTION, COMMENT):
+            parents = {} if contract is CATALOGUE else {"conteudo_id": typed_["catalogo"], "usuario_id": users}
+            validation.require_integrity(typed_[contract.name], contract, parents)
+        records = master.tagged({"silver_catalogo": typed_["catalogo"]} | ({} if sources.recommender is None else {"d1_postgres": sources.recommender}))
+        origins = master.resolved(records)
+        sequence = f"{out}/gold/mestre_sequencia"
+        last = spark.read.parquet(sequence).first()["ultimo_numero"] if exists(spark, sequence) else 0  # one row
+        golden = master.with_master_ids(master.consolidated(origins), origins, prior, last)
+        golden, origins = written(golden, f"{out}/mestre/{run}/ouro"), written(origins, f"{out}/mestre/{run}/origens")
+        links = written(master.correspondence(golden, origins, prior), f"{out}/mestre/{run}/correspondencia")
+        ends = master.last_numbers(links).select(F.greatest("ultimo_numero", F.lit(last).cast("long")).alias("ultimo_numero"))
     with stage("export", times):
         counts |= export(spark, typed_, f"{out}/parquet")
     with stage("aggregate", times):
         monthly = engagement.stamped(engagement.engagement_by_month_category(typed_["interacoes"], typed_["catalogo"]), run, "spark")
     with stage("gold", times):
+        gate = require_validated(spark, out, run)
         consumed = gold.consumption(typed_["interacoes"], links)
         tables = {
             "dim_conteudo": gold.dim_content(golden),
             "dim_usuario": gold.dim_user(users, typed_["interacoes"], key),
             "fato_interacao": gold.fact_interaction(typed_["interacoes"], links, typed_["catalogo"], key),
             "fato_comentario": gold.fact_comment(typed_["comentarios"], links, typed_["catalogo"], key),
-            "fato_recomendacao": gold.fact_recommendation(recommendations, links, consumed, key),
+            "fato_recomendacao": gold.fact_recommendation(recommendations, links, consumed, key, None if sources.recommender is not None else gold.CATALOGUE_SOURCE),
             "kpi_engajamento_mensal_categoria": monthly,
             "conteudo_correspondencia": links,
+            "conteudo_mestre": master.golden_table(golden),
+            "conteudo_conflito": master.conflicts(records, origins),
+            "mestre_sequencia": ends,
         }
         counts |= sinks.publish_all(spark, tables, f"{out}/gold", minimised)
-        sinks.append(gold.publication_row(spark, run, run, status, counts), f"{out}/publicacao")
+        sinks.append(gold.publication_row(spark, run, gate, status, counts), f"{out}/publicacao")
     return Outcome(run, status, results, counts, times)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """A table that several others read: planned and computed once."""
+    sinks.overwrite(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def minimised(name: str, df: DataFrame) -> None:
     """Nothing that names a user, and no comment's text, leaves the validated layer."""
     if bad := {"usuario_id", "comentario"} & set(df.columns):
@@ -196,6 +241,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarrylight")
     for name in ("--catalogo", "--interacoes", "--comentarios", "--usuarios", "--recomendacoes", "--saida"):
         parser.add_argument(name, required=True)
+    parser.add_argument("--catalogo-recomendador", help="Parquet of the recommender's own catalogue")
     parser.add_argument("--id-execucao")
     parser.add_argument("--chave", default=os.environ.get("CHAVE_PSEUDONIMO", ""))
     a = parser.parse_args(arguments)
@@ -203,7 +249,7 @@ def main(arguments: list[str] | None = None) -> int:
     try:
         prior = f"{a.saida}/gold/conteudo_correspondencia"
         before = spark.read.parquet(prior) if exists(spark, prior) else None
-        done = run_workflow(spark, Sources(a.catalogo, a.interacoes, a.comentarios), spark.read.parquet(a.usuarios), spark.read.parquet(a.recomendacoes), a.saida, a.chave, a.id_execucao, before)
+        done = run_workflow(spark, Sources(a.catalogo, a.interacoes, a.comentarios, spark.read.parquet(a.catalogo_recomendador) if a.catalogo_recomendador else None), spark.read.parquet(a.usuarios), spark.read.parquet(a.recomendacoes), a.saida, a.chave, a.id_execucao, before)
     except quality.GateClosed as closed:
         log.error("gate closed: %s", closed)
         return 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.scalars import comma_decimal
-from quarrylight.sources.contracts import INGESTED_FORMAT, Contract
+from quarrylight.sources.contracts import COMMENT, INGESTED_FORMAT, INTERACTION, Contract
 
 
 def fs_path(spark: SparkSession, path: str):
@@ -30,14 +30,17 @@ def list_files(spark: SparkSession, folder: str, include: str = r".*\.(csv|json)
     return sorted(n for n in names if re.fullmatch(include, n) and not re.fullmatch(exclude, n))
 
 
-def read_text_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """All columns as text; only the empty string is null."""
-    return spark.read.options(header=True, sep=separator, quote='"', escape='"', nullValue="", multiLine=True).csv(path)
+def read_text_csv(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = False) -> DataFrame:
+    """All columns as text; only the empty string is null.
 
+    ``multi_line`` allows line ends in quotes, and then a file can't be split: one task reads it whole.
+    """
+    return spark.read.options(header=True, sep=separator, quote='"', escape='"', nullValue="", multiLine=multi_line).csv(path)
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", formats: dict[str, str] | None = None) -> DataFrame:
+
+def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", formats: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
     """Header, quotes and a declared type and mask for each column; what doesn't convert is null."""
-    text = read_text_csv(spark, path, separator)
+    text = read_text_csv(spark, path, separator, multi_line)
     return text.select(*[typed(F.col(f.name), f, (formats or {}).get(f.name), True).alias(f.name) for f in schema])
 
 
@@ -84,11 +87,11 @@ def with_raw(text: DataFrame, contract: Contract) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """A JSON array of records; nested values become JSON text and a missing field is null."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    kinds = {f.name: f.dataType for f in raw.schema}
-    take = lambda n: F.lit(None).cast("string") if n not in kinds else F.to_json(n) if isinstance(kinds[n], (T.ArrayType, T.StructType)) else F.col(n)
-    return raw.select(*[take(n).alias(n) for n in fields])
+    """A JSON array of records as text; nested values stay JSON text and a missing field is null.
+
+    The fields are known, so no pass is spent on inferring them.
+    """
+    return spark.read.option("multiLine", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in fields])).json(path)
 
 
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -125,17 +128,18 @@ def count_rows(spark: SparkSession, path: str, kind: str = "csv", separator: str
     if not exists(spark, path):
         return 0
     if kind == "json":
-        return spark.read.option("multiLine", True).json(path).count()
+        return spark.read.option("multiLine", True).schema("nothing string").json(path).count()
     if kind == "document":
-        return spark.read.option("multiLine", True).json(path).select(F.size("data").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        sizes = spark.read.option("multiLine", True).schema("data array<string>").json(path).select(F.size(F.coalesce("data", F.array())).alias("n"))
+        return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     return spark.read.parquet(path).count() if kind == "parquet" else read_text_csv(spark, path, separator).count()
 
 
 def read_sources(spark: SparkSession, config: dict[str, str]) -> dict[str, DataFrame]:
     """The three raw sources named in a configuration: a CSV catalogue and two JSON arrays."""
     out = {"catalogo": read_text_csv(spark, config["catalogo"])}
-    for name in ("interacoes", "comentarios"):
-        out[name] = spark.read.option("multiLine", True).json(config[name])
+    for contract in (INTERACTION, COMMENT):
+        out[contract.name] = read_json_array(spark, config[contract.name], [f.name for f in contract.columns])
     return out
 
 

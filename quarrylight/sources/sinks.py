@@ -24,15 +24,31 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_document(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One ``{"data": [...]}`` document, for small results that a consumer wants as a whole."""
-    whole = df.agg(F.to_json(F.struct(F.collect_list(F.struct(*df.columns)).alias("data"))).alias("value"))
-    whole.coalesce(1).write.mode(mode).text(path)
+def write_json_document(df: DataFrame, path: str, name: str | None = "data", buffer: int = 1 << 20) -> None:
+    """One ``{"data": [...]}`` document, or a bare array, in ``path``/part-00000.json; replaces what is there.
+
+    Rows pass through the store's client a partition at a time, so neither a task nor the driver holds them all.
+    """
+    spark = df.sparkSession
+    p, fs = fs_path(spark, path)
+    fs.delete(p, True)
+    target, fs = fs_path(spark, f"{path}/part-00000.json")
+    out = fs.create(target, True)
+    parts = [f"{{{json.dumps(name)}:[" if name else "["]
+    size, first = 0, True
+    for r in df.select(F.to_json(F.struct(*df.columns)).alias("value")).toLocalIterator():
+        parts.append(r["value"] if first else "," + r["value"])
+        size, first = size + len(parts[-1]), False
+        if size >= buffer:
+            out.write(bytearray("".join(parts).encode()))
+            parts, size = [], 0
+    out.write(bytearray(("".join(parts) + ("]}" if name else "]")).encode()))
+    out.close()
 
 
 def write_single(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One Parquet file: for small aggregates only."""
-    df.coalesce(1).write.mode(mode).option("compression", "snappy").parquet(path)
+    """One Parquet file, for small results; what is upstream keeps its own tasks."""
+    df.repartition(1).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
 def with_month(df: DataFrame, contract: Contract) -> DataFrame:
@@ -40,9 +56,12 @@ def with_month(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str = PARTITION, mode: str = "errorifexists", files_per_value: int = 0) -> None:
-    """Hive partitions.  With ``files_per_value`` rows are dealt to so many files a partition, else as they stand."""
+    """Hive partitions.  With ``files_per_value`` rows are dealt to so many files a partition, else to files of about
+    the session's advisory size: small partitions share a task and large ones are split."""
     if files_per_value:
         df = df.repartition(by, F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value)))
+    else:
+        df = df.hint("rebalance", F.col(by))
     df.write.mode(mode).partitionBy(by).option("compression", "snappy").parquet(path)
 
 
@@ -63,12 +82,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+JOURNAL = "_journal.json"
+
+
+def recover(spark: SparkSession, root: str) -> bool:
+    """End a publication that was lost between its renames: all its tables were written and checked."""
+    path = f"{root}/{JOURNAL}"
+    if not exists(spark, path):
+        return False
+    journal = json.loads(read_text(spark, path))
+    for name in journal["tables"]:
+        if exists(spark, f"{journal['stage']}/{name}"):
+            if exists(spark, f"{root}/{name}"):
+                _move(spark, f"{root}/{name}", f"{journal['old']}/{name}")
+            _move(spark, f"{journal['stage']}/{name}", f"{root}/{name}")
+    for gone in (path, journal["stage"], journal["old"]):
+        if exists(spark, gone):
+            _delete(spark, gone)
+    return True
+
+
 def publish_all(spark: SparkSession, tables: dict[str, DataFrame], root: str, check: Callable[[str, DataFrame], None] | None = None, partition: dict[str, str] | None = None) -> dict[str, int]:
     """Write all tables aside, re-read and check each, then swap all in; nothing changes if one fails.
 
     Returns row counts, also kept in ``_manifest.json``.  The renames come last and are few; if one
-    fails those before it are undone.
+    fails those before it are undone.  A journal tells of them: where a driver was lost in between, the
+    next publication, or ``recover``, ends them first.
     """
+    recover(spark, root)
     stage, old = f"{root}/_stage-{uuid.uuid4().hex}", f"{root}/_old-{uuid.uuid4().hex}"
     counts: dict[str, int] = {}
     try:
@@ -83,6 +124,7 @@ def publish_all(spark: SparkSession, tables: dict[str, DataFrame], root: str, ch
                 check(name, again)
             counts[name] = again.count()
         swapped: list[str] = []
+        write_text(spark, f"{root}/{JOURNAL}", json.dumps({"stage": stage, "old": old, "tables": list(tables)}))
         try:
             for name in tables:
                 if exists(spark, f"{root}/{name}"):
@@ -97,6 +139,7 @@ def publish_all(spark: SparkSession, tables: dict[str, DataFrame], root: str, ch
                     _move(spark, f"{old}/{name}", f"{root}/{name}")
             raise
     finally:
+        _delete(spark, f"{root}/{JOURNAL}")
         _delete(spark, stage)
         if exists(spark, old):
             _delete(spark, old)
@@ -123,19 +166,45 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def schema_differences(spark: SparkSession, found: T.StructType, wanted: T.StructType) -> DataFrame:
+    """(coluna, tipo, tipo_esperado) of the columns that differ; null where a side hasn't the column."""
+    sides = [{f.name: f.dataType.simpleString() for f in s} for s in (found, wanted)]
+    rows = [(n, sides[0].get(n), sides[1].get(n)) for n in sorted({*sides[0], *sides[1]}) if sides[0].get(n) != sides[1].get(n)]
+    return spark.createDataFrame(rows, "coluna string, tipo string, tipo_esperado string")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file through the store's own client; Spark's readers skip names that begin with an underscore."""
+    p, fs = fs_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 # --- load semantics: functions of the old table and the new rows ---
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows and the new rows of unseen keys, one a key."""
-    unseen = new.join(old.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
-    return old.unionByName(unseen.select(*old.columns))
+def one_of_key(df: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One row a key: the first by ``order``, and of equals that of the least hash."""
+    place = F.struct(*(order or []), F.xxhash64(*df.columns))
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), place).alias("linha")).select(*[F.col(c) if c in key else F.col(f"linha.{c}").alias(c) for c in df.columns])
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Old rows and the new rows of unseen keys, one a key, the first by ``order``."""
+    unseen = one_of_key(new.join(old.select(*key).distinct(), key, "left_anti").select(*old.columns), key, order)
+    return old.unionByName(unseen)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones of their key; columns in ``keep`` stay as first written."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), order: list[Column] | None = None) -> DataFrame:
+    """New rows replace old ones of their key, of several the first by ``order``; columns in ``keep`` stay as first written."""
     o = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns], F.lit(True).alias("o_row"))
-    n = new.dropDuplicates(key).withColumn("n_row", F.lit(True))
+    n = one_of_key(new.select(*old.columns), key, order).withColumn("n_row", F.lit(True))
     both = n.join(o, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in key], "full_outer")
 
     def pick(c: str) -> Column:

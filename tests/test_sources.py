@@ -85,6 +85,41 @@ def test_publication_is_all_or_nothing(spark, tmp_path):
     assert sinks.publish(spark, spark.range(5), f"{root}/a", rows=5) == 5
 
 
+def test_a_lost_publication_is_ended(spark, tmp_path):
+    root = str(tmp_path / "gold")
+    sinks.publish_all(spark, {"a": spark.range(3), "b": spark.range(2)}, root)
+    stage, old = f"{root}/_stage-x", f"{root}/_old-x"
+    spark.range(7).write.parquet(f"{stage}/b")  # a is swapped already, b isn't
+    sinks.overwrite(spark.range(5), f"{root}/a")
+    sinks.overwrite(spark.range(3), f"{old}/a")
+    sinks.write_text(spark, f"{root}/{sinks.JOURNAL}", json.dumps({"stage": stage, "old": old, "tables": ["a", "b"]}))
+    assert sinks.recover(spark, root) and not sinks.recover(spark, root)
+    assert spark.read.parquet(f"{root}/a").count() == 5 and spark.read.parquet(f"{root}/b").count() == 7
+    assert sorted(p.name for p in (tmp_path / "gold").iterdir() if not p.name.startswith(".")) == ["_manifest.json", "a", "b"]
+
+
+def test_equal_new_keys(spark):
+    old = spark.createDataFrame([(1, "a", 1)], "k int, v string, n int")
+    new = spark.createDataFrame([(2, "c", 2), (2, "d", 1), (1, "x", 9), (1, "y", 8)], "k int, v string, n int")
+    for parts in (1, 5):
+        assert sorted(map(tuple, sinks.upsert(old, new.repartition(parts), ["k"], order=[F.col("n")]).collect())) == [(1, "y", 8), (2, "d", 1)]
+        assert sorted(map(tuple, sinks.insert_ignore(old, new.repartition(parts), ["k"], order=[-F.col("n")]).collect())) == [(1, "a", 1), (2, "c", 2)]
+
+
+def test_shared_folder_on_a_cluster(spark):
+    from quarrylight import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Cluster)
+
+
 def test_load_semantics(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, first int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, first int")

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 
@@ -29,7 +29,7 @@ def inputs(tmp_path):
 def run(spark, folder, out="out", **options):
     users = spark.createDataFrame([(i,) for i in range(1, 8)], "usuario_id int")
     recs = spark.createDataFrame([(1, 1, 1, 1, 80.0, "Positivo", datetime(2024, 1, 1)), (2, 2, 5, 2, 50.0, "Estável", datetime(2024, 1, 1))], "recomendacao_id long, usuario_id int, conteudo_id int, posicao int, pontuacao double, status string, data_geracao timestamp_ntz")
-    sources = workflow.Sources(*(str(folder / n) for n in ("catalogo.csv", "interacoes.json", "comentarios.json")))
+    sources = workflow.Sources(*(str(folder / n) for n in ("catalogo.csv", "interacoes.json", "comentarios.json")), options.pop("recommender", None))
     return workflow.run_workflow(spark, sources, users, recs, str(folder / out), options.pop("key", "k"), **options)
 
 
@@ -50,6 +50,52 @@ def test_whole_workflow(spark, inputs):
     assert spark.read.parquet(str(inputs / "out" / "parquet" / "interacoes")).where("ano_mes = '2024-03'").count() == 20
 
 
+def master_ids(spark, inputs):
+    return {(r["fonte"], r["id_origem"]): r["conteudo_mestre_id"] for r in spark.read.parquet(str(inputs / "out" / "gold" / "conteudo_correspondencia")).collect()}
+
+
+def test_master_data_over_runs(spark, inputs):
+    """A new, a merged and a vanished content; numbers are never used twice; both sources' conflicts are published."""
+    gold = inputs / "out" / "gold"
+    second = spark.createDataFrame([(1, "Título 1", "Curso", "Cat1", "Básico", 99, date(2024, 1, 2), "Texto", "Ana")], "conteudo_id int, titulo string, tipo string, categoria string, nivel string, carga_horaria_min int, data_publicacao date, descricao string, autor string")
+    run(spark, inputs, run="r1", recommender=second)
+    first = master_ids(spark, inputs)
+    assert len(set(first.values())) == 12 and first["silver_catalogo", 1] == first["d1_postgres", 1]
+    found = spark.read.parquet(str(gold / "conteudo_conflito")).collect()
+    assert [(r["conteudo_id"], r["atributo"], r["nivel_conflito"], r["valor_escolhido"]) for r in found] == [(1, "carga_horaria_min", "entre_fontes", "21")]
+    assert {r["id_origem"]: r["regra"] for r in spark.read.parquet(str(gold / "conteudo_correspondencia")).collect()} == {k: "M1" if k == 1 else "UNICO" for k in range(1, 13)}
+    assert spark.read.parquet(str(gold / "conteudo_mestre")).count() == 12
+
+    lines = (inputs / "catalogo.csv").read_text(encoding="utf-8").splitlines()
+    head, *rows = lines
+    last = max(first.values())
+    gone = next(k for (f, k), v in first.items() if v == last and f == "silver_catalogo")  # the last number's content becomes another's duplicate
+    rows = [r if not r.startswith(f"{gone},") else r.replace(f"Título {gone}", "TÍTULO 2") for r in rows] + ['13,"Novo",Curso,Cat1,Básico,30,2024-01-05,Texto,Ana']
+    (inputs / "catalogo.csv").write_text("\n".join([head, *rows]) + "\n", encoding="utf-8")
+    run(spark, inputs, run="r2", prior=spark.read.parquet(str(gold / "conteudo_correspondencia")))
+    then = master_ids(spark, inputs)
+    assert then["silver_catalogo", gone] == then["silver_catalogo", 2] == min(first["silver_catalogo", 2], last)
+    assert then["silver_catalogo", 13] not in first.values() and {k: v for k, v in then.items() if k[1] not in (gone, 2, 13)} == {k: v for k, v in first.items() if k[1] not in (gone, 2)}
+    with_14 = "\n".join([head, *[r for r in rows if not r.startswith("13,")], '14,"Mais um",Curso,Cat1,Básico,30,2024-01-05,Texto,Ana']) + "\n"
+    (inputs / "catalogo.csv").write_text(with_14, encoding="utf-8")
+    run(spark, inputs, run="r3", prior=spark.read.parquet(str(gold / "conteudo_correspondencia")))
+    end = master_ids(spark, inputs)
+    assert end["silver_catalogo", 14] not in {*first.values(), *then.values()} and end["silver_catalogo", 13] == then["silver_catalogo", 13]
+
+
+def test_a_changed_layer_closes_the_gate(spark, inputs):
+    out = str(inputs / "out")
+    with pytest.raises(quality.GateClosed, match="no run"):
+        workflow.require_validated(spark, out)
+    run(spark, inputs, run="r1")
+    assert workflow.require_validated(spark, out) == workflow.require_validated(spark, out, "r1") == "r1"
+    with pytest.raises(quality.GateClosed, match="no run of the gate r9"):
+        workflow.require_validated(spark, out, "r9")
+    spark.read.parquet(f"{out}/silver/catalogo").limit(3).write.mode("append").parquet(f"{out}/silver/catalogo")
+    with pytest.raises(quality.GateClosed, match="changed"):
+        workflow.require_validated(spark, out)
+
+
 def test_closed_gate_publishes_nothing(spark, inputs):
     text = (inputs / "interacoes.json").read_text(encoding="utf-8").replace('"percentual_conclusao": "100.00"', '"percentual_conclusao": "80.00"')
     (inputs / "interacoes.json").write_text(text, encoding="utf-8")
