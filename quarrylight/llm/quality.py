@@ -1,14 +1,14 @@
 """Quality classifier by co-training two views of a document.
 
 The text view sees how a text is written, the metadata view its lang, source and n_chars columns.  Each
-is a logistic model on binned features.  Both start from labelled rows; over rounds each view hands the
-other the unlabelled documents that it is surest of, with its guess as their label.  The views are then
-calibrated on labelled rows kept apart and combined, and all documents are scored.
+is a logistic model on binned features.  Both start from labelled rows; over rounds each view scores all
+unlabelled documents and hands the other some of those that it is sure of, with its guess as their label.
+The views are then calibrated on labelled rows kept apart and combined, and all documents are scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,14 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.runtime import crc32_mod
+from quarrylight.llm.runtime import crc32_mod, written
 from quarrylight.llm.textbytes import TextSlice, find_words, span_hashes, text_slices
 from quarrylight.llm.toxicity import fit_logistic
 
 TRAIN_ROWS = 12_000  # labelled documents fitted on, about
-OTHER_ROWS = 12_000  # unlabelled documents that the views exchange guesses on, about
+GIVEN_ROWS = 600  # documents that a view hands on in a round, drawn from all those it is sure of
 ROUNDS = 4
-SURE_SHARE = 0.05  # of the unlabelled documents, those that a view hands on in a round
 SURE_AT = 0.95
 BINS = 12
 KEEP_AT = 0.2
@@ -124,74 +123,128 @@ class Model:
         return p(np.stack([np.ones(len(a)), a, b], 1) @ self.combine), p(a), p(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1 good, 0 bad, -1 unlabelled.  A quarter of the labelled rows is kept for calibration."""
-    known, open_ = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+#: Of a round, a view's name, the views and how many good and bad ones are wanted: features of both views and guesses.
+Pool = Callable[[int, str, dict[str, View], int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def surest(p: np.ndarray) -> np.ndarray:
+    """Guesses: 1 good, 0 bad, -1 unsure."""
+    return np.where(p >= SURE_AT, 1, np.where(p <= 1 - SURE_AT, 0, -1))
+
+
+def pool_of(text: np.ndarray, meta: np.ndarray) -> Pool:
+    """A pool in memory."""
+
+    def choose(turn: int, name: str, views: dict[str, View], good: int, bad: int):
+        guess = surest(1 / (1 + np.exp(-views[name].logit(text if name == "text" else meta))))
+        order = np.random.default_rng([turn, name == "text"]).permutation(len(text))
+        rows = np.concatenate([order[guess[order] == label][:n] for label, n in ((1, good), (0, bad))])
+        return text[rows], meta[rows], guess[rows]
+
+    return choose
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | None = None, rounds: int = ROUNDS) -> Model:
+    """y: 1 good, 0 bad, -1 unlabelled; unlabelled rows are the pool where none is given.
+
+    A quarter of the labelled rows is kept for calibration.
+    """
+    known = y >= 0
+    if pool is None:
+        pool = pool_of(text[~known], meta[~known])
     views = {"text": View(View.bins_of(text, 0), np.zeros(0)), "meta": View([np.zeros(0), np.zeros(0), *View.bins_of(meta[:, 2:], 0)], np.zeros(0))}
-    x = {"text": views["text"].design(text), "meta": views["meta"].design(meta)}
-    if not len(known) or y[known].min() == y[known].max():  # nothing to tell apart: keep all
-        for name in views:
-            views[name].weights = np.zeros(x[name].shape[1])
+    rows, y = {"text": text[known], "meta": meta[known]}, y[known]
+    if not len(y) or y.min() == y.max():  # nothing to tell apart: keep all
+        for name, x in (("text", text), ("meta", meta)):
+            views[name].weights = np.zeros(views[name].design(x[:1]).shape[1])
         return Model(views["text"], views["meta"], np.array([2.0, 0.0, 0.0]), 1.0)
-    fit, held = known[np.arange(len(known)) % 4 > 0], known[np.arange(len(known)) % 4 == 0]
+    fit, held = np.arange(len(y)) % 4 > 0, np.arange(len(y)) % 4 == 0
     if y[fit].min() == y[fit].max() or y[held].min() == y[held].max():
-        fit = held = known
-    given: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
+        fit = held = np.ones(len(y), bool)
+    x = {name: [views[name].design(rows[name][fit])] for name in views}
+    labels = {name: [y[fit]] for name in views}
     share = y[fit].mean()
+    good = int(GIVEN_ROWS * share) + 1
     for turn in range(rounds + 1):
         for name, view in views.items():
-            rows = np.concatenate([fit, np.fromiter(given[name], int, len(given[name]))])
-            labels = np.concatenate([y[fit], np.fromiter(given[name].values(), int, len(given[name]))])
-            view.weights = fit_logistic(x[name][rows], labels, 0.5, 15)
-        if turn == rounds or not len(open_):
+            view.weights = fit_logistic(np.concatenate(x[name]), np.concatenate(labels[name]), 0.5, 15)
+        if turn == rounds:
             break
+        found = {name: pool(turn, name, views, good, max(1, GIVEN_ROWS - good)) for name in views}
         for name, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-np.clip(x[name][open_] @ views[name].weights, -12, 12)))
-            most = max(1, int(SURE_SHARE * len(open_)))
-            good, bad = open_[p >= SURE_AT], open_[p <= 1 - SURE_AT]
-            good, bad = good[np.argsort(-p[p >= SURE_AT], kind="stable")], bad[np.argsort(p[p <= 1 - SURE_AT], kind="stable")]
-            for k in good[: int(most * share) + 1].tolist():
-                given[other].setdefault(k, 1)
-            for k in bad[: int(most * (1 - share)) + 1].tolist():
-                given[other].setdefault(k, 0)
-    z = np.stack([np.ones(len(held)), *(np.clip(x[name][held] @ views[name].weights, -12, 12) for name in ("text", "meta"))], 1)
+            x[other].append(views[other].design(found[name][other == "meta"]))
+            labels[other].append(found[name][2])
+    z = np.stack([np.ones(held.sum()), *(views[name].logit(rows[name][held]) for name in ("text", "meta"))], 1)
     return Model(views["text"], views["meta"], fit_logistic(z, y[held].astype(float), 1e-2), float(share))
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    """y and the features of both views as one array; columns text, lang, source, n_chars, y."""
+def _featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, x): the features of both views as one array, and a hash that orders rows."""
+    place = F.xxhash64("doc_id", "text", F.lit(23))
+    rows = docs.select("text", "lang", "source", "n_chars", "doc_id", place.alias("place"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             meta = meta_features(batch.column(1), batch.column(2), batch.column(3))
             for piece in text_slices(batch.column(0)):
-                both = np.concatenate([text_features(piece), meta[piece.first : piece.first + len(piece)]], 1)
+                both = np.concatenate([text_features(piece), meta[piece.first : piece.first + len(piece)]], 1).astype(np.float32)
                 ends = pa.array(np.arange(0, both.size + 1, both.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(4).slice(piece.first, len(piece)), pa.ListArray.from_arrays(ends, pa.array(both.ravel()))], names=["y", "x"])
+                own = batch.slice(piece.first, len(piece))
+                yield pa.RecordBatch.from_arrays([own.column(4), own.column(5), pa.ListArray.from_arrays(ends, pa.array(both.ravel()))], names=["doc_id", "place", "x"])
+
+    return rows.mapInArrow(featured, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, place long, x array<float>")
+
 
-    return rows.mapInArrow(featured, "y int, x array<double>")
+def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(column.flatten(), np.float64).reshape(-1, TEXT_FEATURES + 3)
+    return x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
-    """Fit on about TRAIN_ROWS labelled and OTHER_ROWS unlabelled documents, chosen by a hash of doc_id."""
+def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
+    """Fit on about ``train_rows`` labelled documents and, a round and view, GIVEN_ROWS of all unlabelled ones.
+
+    The features of all documents are written once, and each round reads them.  Rows are chosen by hashes of
+    doc_id and text, so that the same tables give the same model.  Of several labels of a doc_id the least
+    holds; repeated doc_ids give each of their texts; without both labels every document is kept.
+    """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(target).cast("int").alias("y"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000))
-    n_known, n_docs = known.count(), docs.count()
-    picked = known.where(place < int(1_000_000 * min(1.0, TRAIN_ROWS / max(1, n_known))))
-    columns = ["text", "lang", "source", "n_chars"]
-    rows = docs.join(F.broadcast(picked), "doc_id").select(*columns, "y")  # about TRAIN_ROWS rows
-    part = docs.where(place < int(1_000_000 * min(1.0, OTHER_ROWS / max(1, n_docs)))).join(picked, "doc_id", "left_anti")
-    rows = rows.unionByName(part.select(*columns, F.lit(-1).alias("y")))
-    found = _featured(rows.select(*columns, "y")).toArrow()  # about TRAIN_ROWS + OTHER_ROWS rows of 20 numbers
+    both = written(_featured(docs).join(known, "doc_id", "left").select("place", "x", "y"), "features")
+    n_known = both.where("y IS NOT NULL").count()
+    share = int(1_000_000 * min(1.0, train_rows / max(1, n_known)))
+    found = both.where(F.col("y").isNotNull() & (F.pmod("place", F.lit(1_000_000)) < share)).toArrow()  # about train_rows rows of 20 numbers
     if not found.num_rows:
         return co_train(np.zeros((1, TEXT_FEATURES)), np.zeros((1, 3)), np.array([-1]))
-    x = np.asarray(found["x"].combine_chunks().flatten()).reshape(found.num_rows, -1)
-    order = np.lexsort(x.T)  # the same model whatever the order of rows
-    return co_train(x[order, :TEXT_FEATURES], x[order, TEXT_FEATURES:], found["y"].to_numpy()[order])
+    open_ = both.where("y IS NULL").select("place", "x")
+
+    def choose(turn: int, name: str, views: dict[str, View], good: int, bad: int):
+        shared = docs.sparkSession.sparkContext.broadcast(views[name])
+
+        def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                guesses = surest(1 / (1 + np.exp(-shared.value.logit(_matrix(batch.column(1))[name == "meta"]))))
+                some = np.flatnonzero(guesses >= 0)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(some)).columns, pa.array(guesses[some].astype(np.int32))], names=["place", "x", "y"])
+
+        sure = open_.mapInArrow(guess, "place long, x array<float>, y int")
+        order = [F.xxhash64("place", F.lit(turn)), F.col("place"), F.col("x")]
+        parts = [sure.where(F.col("y") == label).orderBy(*order).limit(n).toArrow() for label, n in ((1, good), (0, bad))]  # GIVEN_ROWS rows
+        shared.destroy()
+        rows = pa.concat_tables(parts)
+        return *_matrix(rows["x"]), np.asarray(rows["y"]).astype(int)
+
+    text, meta = _matrix(found["x"])
+    order = np.lexsort((*text.T, *meta.T, np.asarray(found["place"])))  # the same model whatever the order of rows
+    return co_train(text[order], meta[order], np.asarray(found["y"])[order], choose)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with quality_score, text_score and meta_score.  Null texts score as empty ones."""
+    """``docs`` with quality_score, text_score and meta_score.
+
+    Each row is scored by its own columns: repeated rows and ids give equal scores, null texts score as empty
+    ones, null lang, source and n_chars have codes of their own, an empty table gives no rows.  Columns may bear
+    any names but the three that are added; text, lang, source and n_chars must be there.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]
     at = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]

@@ -500,6 +500,8 @@ def test_quality(spark, odd_docs, no_docs):
     assert (found["quality_score"] >= quality.KEEP_AT)[y == 1].mean() > 0.99
     odd = quality.score_quality(odd_docs, model)
     assert odd.count() == odd_docs.count() and odd.columns[: len(odd_docs.columns)] == odd_docs.columns
+    again = quality.fit_quality(docs.repartition(5), labels.where(rest != 1).repartition(3))
+    assert np.allclose(again.combine, model.combine) and np.allclose(again.text.weights, model.text.weights)
     nothing = quality.fit_quality(no_docs, labels)
     assert quality.score_quality(odd_docs, nothing).where(F.col("quality_score") < quality.KEEP_AT).isEmpty()
 
@@ -515,6 +517,34 @@ def test_views_hand_on_what_they_are_sure_of():
     assert auc(both, y) > 0.99 and auc(a, y) > 0.99 and auc(b, y) > 0.99
 
 
+def test_quality_exchange_against_a_plain_one(spark, monkeypatch):
+    """What a view hands on are documents of the whole table that it is sure of, as many of each class as asked for."""
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    labels = spark.read.parquet(f"{LABELLED}/labels.parquet").where("doc_id % 9 = 0")
+    seen, plain = [], quality.co_train
+
+    def spied(text, meta, y, pool=None, rounds=quality.ROUNDS):
+        def choose(turn, name, views, good, bad):
+            got = pool(turn, name, views, good, bad)
+            seen.append((turn, name, quality.View(views[name].edges, views[name].weights.copy()), good, bad, got))
+            return got
+
+        return plain(text, meta, y, choose, rounds)
+
+    monkeypatch.setattr(quality, "co_train", spied)
+    quality.fit_quality(docs, labels)
+    known = {r["doc_id"] for r in labels.where("quality IS NOT NULL").collect()}
+    rows = quality._featured(docs).toPandas()
+    x = np.stack(rows["x"][~rows["doc_id"].isin(known)]).astype(float)
+    assert len(seen) == 2 * quality.ROUNDS
+    for turn, name, view, good, bad, (text, meta, y) in seen:
+        own = slice(0, quality.TEXT_FEATURES) if name == "text" else slice(quality.TEXT_FEATURES, None)
+        guess = quality.surest(1 / (1 + np.exp(-view.logit(x[:, own]))))
+        assert [(y == 1).sum(), (y == 0).sum()] == [min(good, (guess == 1).sum()), min(bad, (guess == 0).sum())]
+        pairs = {tuple(r) for r in np.concatenate([x[guess >= 0], guess[guess >= 0, None]], 1).tolist()}
+        assert all(tuple(r) in pairs for r in np.concatenate([text, meta, y[:, None]], 1).tolist())
+
+
 # --- surrogates ---
 
 
