@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalars import COMPLETION, LIKE, clamped, cosine_distance
-from quarrylight.session import ship
+from quarrylight.session import ship, written
 
 # What counts as a view, and the names of statuses.
 VIEWS = ("visualização",)
@@ -39,7 +39,7 @@ def profiles(interactions: DataFrame, embeddings: DataFrame, positive: DataFrame
 
 
 def similarities(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, positive: DataFrame | None = None, minimum: float = 4, views: tuple[str, ...] = VIEWS) -> DataFrame:
-    """Every user with every content, which is what candidates are here: similarities and whether not completed."""
+    """Every user with every content: similarities and whether not completed.  For few users; ``over_blocks`` is for all."""
     known = users.select("usuario_id").distinct().join(profiles(interactions, embeddings, positive, minimum, views), "usuario_id", "left")
     done = interactions.where((F.col("tipo_interacao") == COMPLETION) | (F.col("percentual_conclusao") >= 100)).select("usuario_id", "conteudo_id", F.lit(True).alias("feito")).distinct()
     pairs = known.crossJoin(embeddings.select("conteudo_id", "embedding"))
@@ -108,53 +108,72 @@ def _likeness(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_blocks(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70, minimum: float = 4, views: tuple[str, ...] = VIEWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """What ``top_n(scored(similarities(...)))`` gives, without a row for each user and content.
+def _widen(batch: pa.RecordBatch, ids: np.ndarray, vectors: np.ndarray, n: int, negative: float, positive: float) -> pa.RecordBatch:
+    """Users' ranges of similarities, over one more block."""
+    both = [_likeness(batch.column(c), vectors) for c in (1, 2)]
+    low = np.minimum(np.asarray(batch.column(4).flatten()).reshape(-1, 2), np.stack([x.min(1) for x in both], 1))
+    high = np.maximum(np.asarray(batch.column(5).flatten()).reshape(-1, 2), np.stack([x.max(1) for x in both], 1))
+    ends = pa.array(np.arange(0, 2 * len(batch) + 1, 2, dtype=np.int32))
+    pair = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([*batch.columns[:4], pair(low), pair(high), *batch.columns[6:]], names=batch.schema.names)
+
+
+def _score(batch: pa.RecordBatch, ids: np.ndarray, vectors: np.ndarray, n: int, negative: float, positive: float) -> pa.RecordBatch:
+    """Users' best contents and numbers of contents by status, over one more block."""
+    low, high = (np.asarray(batch.column(c).flatten()).reshape(-1, 2) for c in (4, 5))
+    width = high - low
+    v, c = ((_likeness(batch.column(k + 1), vectors) - low[:, k : k + 1]) / np.where(width[:, k : k + 1] > 0, width[:, k : k + 1], 1.0) * (width[:, k : k + 1] > 0) for k in (0, 1))
+    score = np.floor((v + c) / 2 * 100 * 100 + 0.5 + 1e-9) / 100
+    kept, counts = [], np.asarray(batch.column(7).flatten()).reshape(-1, 3).copy()
+    for r, (done, old) in enumerate(zip(batch.column(3), batch.column(6))):
+        open_ = ~np.isin(ids, np.array(done.as_py(), ids.dtype))
+        good = np.flatnonzero((score[r] > negative) & open_)
+        high_ = int((score[r, good] >= positive).sum())
+        counts[r] += (high_, len(good) - high_, len(ids) - len(good))
+        top = good[np.lexsort((ids[good], -score[r, good]))[:n]]
+        new = [{"pontuacao": float(score[r, k]), "conteudo_id": int(ids[k]), "i_vis": float(v[r, k]), "i_cur": float(c[r, k])} for k in top]
+        kept.append(sorted([*old.as_py(), *new], key=lambda x: (-x["pontuacao"], x["conteudo_id"]))[:n])
+    ends = pa.array(np.arange(0, 3 * len(batch) + 1, 3, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(kept, batch.schema.field(6).type), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], names=batch.schema.names)
+
+
+def over_blocks(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70, minimum: float = 4, views: tuple[str, ...] = VIEWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row a user: ``melhores``, the best ``n`` contents, and ``contagem``, how many are positive, stable and negative.
 
     Users' rows pass over the blocks of contents twice: for the ranges that scores are scaled by, and
-    for the best ``n`` so far.  What is kept of a user doesn't grow with the contents.
+    for the scores.  What is kept of a user doesn't grow with the contents.  Each further block is a pass of its
+    own over the written rows, so that driver and tasks hold two blocks at most.
     """
     done = interactions.where((F.col("tipo_interacao") == COMPLETION) | (F.col("percentual_conclusao") >= 100)).groupBy("usuario_id").agg(F.collect_set("conteudo_id").alias("feitos"))
     state = users.select("usuario_id").distinct().join(profiles(interactions, embeddings, positive_pairs, minimum, views), "usuario_id", "left").join(done, "usuario_id", "left")
     lows, highs = F.array(F.lit(2.0), F.lit(2.0)), F.array(F.lit(-1.0), F.lit(-1.0))
     none = F.array().cast("array<struct<pontuacao:double,conteudo_id:int,i_vis:double,i_cur:double>>")
-    state = state.select("usuario_id", "vis", "cur", F.coalesce("feitos", F.array().cast("array<int>")).alias("feitos"), lows.alias("menor"), highs.alias("maior"), none.alias("melhores"))
-    spark, schema = users.sparkSession, state.schema
+    state = state.select(
+        "usuario_id", "vis", "cur", F.coalesce("feitos", F.array().cast("array<int>")).alias("feitos"), lows.alias("menor"), highs.alias("maior"), none.alias("melhores"),
+        F.array(*[F.lit(0).cast("long")] * 3).alias("contagem"),
+    )
+    spark, schema, held = users.sparkSession, state.schema, []
     ship(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in content_blocks(embeddings, block_bytes)]
-
-    for shared in blocks:
-
-        def ranges(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            _, vectors = shared.value
-            for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
-                both = [_likeness(batch.column(c), vectors) for c in (1, 2)]
-                low = np.minimum(np.asarray(batch.column(4).flatten()).reshape(-1, 2), np.stack([x.min(1) for x in both], 1))
-                high = np.maximum(np.asarray(batch.column(5).flatten()).reshape(-1, 2), np.stack([x.max(1) for x in both], 1))
-                ends = pa.array(np.arange(0, 2 * len(batch) + 1, 2, dtype=np.int32))
-                pair = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pair(low), pair(high), batch.column(6)], names=batch.schema.names)
-
-        state = state.mapInArrow(ranges, schema)
-
-    for shared in blocks:
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
-                low, high = (np.asarray(batch.column(c).flatten()).reshape(-1, 2) for c in (4, 5))
-                width = high - low
-                v, c = ((_likeness(batch.column(k + 1), vectors) - low[:, k : k + 1]) / np.where(width[:, k : k + 1] > 0, width[:, k : k + 1], 1.0) * (width[:, k : k + 1] > 0) for k in (0, 1))
-                score = np.floor((v + c) / 2 * 100 * 100 + 0.5 + 1e-9) / 100
-                kept = []
-                for r, (found, old) in enumerate(zip(batch.column(3), batch.column(6))):
-                    good = np.flatnonzero((score[r] > negative) & ~np.isin(ids, np.array(found.as_py(), ids.dtype)))
-                    top = good[np.lexsort((ids[good], -score[r, good]))[:n]]
-                    new = [{"pontuacao": float(score[r, k]), "conteudo_id": int(ids[k]), "i_vis": float(v[r, k]), "i_cur": float(c[r, k])} for k in top]
-                    kept.append(sorted([*old.as_py(), *new], key=lambda x: (-x["pontuacao"], x["conteudo_id"]))[:n])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(kept, batch.schema.field(6).type)], names=batch.schema.names)
-
-        state = state.mapInArrow(best, schema)
+    for step in (_widen, _score):
+        for k, block in enumerate(content_blocks(embeddings, block_bytes)):
+            if k:
+                state = written(state, "recomendador")
+                while held:
+                    held.pop().destroy()
+            held.append(spark.sparkContext.broadcast(block))  # block_bytes of vectors
+
+            def run(batches: Iterator[pa.RecordBatch], shared=held[-1], step=step) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at in range(0, len(batch), 512):
+                        yield step(batch.slice(at, 512), *shared.value, n, negative, positive)
+
+            state = state.mapInArrow(run, schema)
+    return state.select("usuario_id", "melhores", "contagem")
+
+
+def best_of_blocks(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70, minimum: float = 4, views: tuple[str, ...] = VIEWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``top_n(scored(similarities(...)))`` gives, without a row for each user and content."""
+    state = over_blocks(users, interactions, embeddings, n, positive_pairs, negative, positive, minimum, views, block_bytes)
     rows = state.select("usuario_id", F.posexplode("melhores").alias("at", "m"))
     return rows.select(
         "usuario_id", F.col("m.conteudo_id").alias("conteudo_id"), F.col("m.pontuacao").alias("pontuacao"), F.round("m.i_vis", 4).alias("i_vis"), F.round("m.i_cur", 4).alias("i_cur"), F.lit(1.0).alias("i_conc"),
@@ -162,6 +181,13 @@ def best_of_blocks(users: DataFrame, interactions: DataFrame, embeddings: DataFr
     )
 
 
+def status_counts(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70, minimum: float = 4, views: tuple[str, ...] = VIEWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(usuario_id, status, conteudos) of ``scored(similarities(...))``, without a row for each user and content."""
+    state = over_blocks(users, interactions, embeddings, 0, positive_pairs, negative, positive, minimum, views, block_bytes)
+    named = F.map_from_arrays(F.array(*map(F.lit, (POSITIVE, STABLE, NEGATIVE))), "contagem")
+    return state.select("usuario_id", F.explode(named).alias("status", "conteudos")).where("conteudos > 0")
+
+
 def generate(users: DataFrame, interactions: DataFrame, embeddings: DataFrame, at, n: int = 10, positive_pairs: DataFrame | None = None, negative: float = 40, positive: float = 70) -> DataFrame:
     """Recommendations of all users with one generation time."""
     return best_of_blocks(users, interactions, embeddings, n, positive_pairs, negative, positive).withColumn("data_geracao", F.lit(at).cast("timestamp_ntz"))

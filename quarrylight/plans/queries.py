@@ -714,18 +714,13 @@ scored AS (SELECT usuario_id, conteudo_id, CAST(round((v + c) / 2 * 100 * conc,
 final AS (SELECT *, CASE WHEN i_conc = 0 OR pontuacao <= 40 THEN 'Negativo' WHEN pontuacao >= 70 THEN 'Positivo' ELSE 'Estável' END AS status FROM scored)"""
 
 
-def _scores(e: Entities) -> DataFrame:
-    users = e.interactions.select("usuario_id").distinct()
-    return recommend.scored(recommend.similarities(users, e.interactions, e.embeddings, e.comments.where("avaliacao >= 4")))
-
-
 def _recommend_sql(body: str) -> str:
     return with_ctes("", "interacao", "comentario", "vetor").rstrip() + f",\n{_PROFILE}\n{body}"
 
 
 @query(_recommend_sql("SELECT usuario_id, status, count(*) AS conteudos FROM final GROUP BY 1, 2"))
 def recommend_scores(e: Entities) -> DataFrame:
-    return _scores(e).groupBy("usuario_id", "status").agg(F.count("*").alias("conteudos"))
+    return recommend.status_counts(e.interactions.select("usuario_id").distinct(), e.interactions, e.embeddings, e.comments.where("avaliacao >= 4"))
 
 
 @query(_recommend_sql("SELECT usuario_id, conteudo_id, pontuacao, i_vis, i_cur, i_conc, status, posicao FROM (SELECT *, CAST(row_number() OVER (PARTITION BY usuario_id ORDER BY pontuacao DESC, conteudo_id) AS INTEGER) AS posicao FROM final WHERE status <> 'Negativo') WHERE posicao <= 10"))

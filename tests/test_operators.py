@@ -158,6 +158,8 @@ def test_blocks_equal_the_plain_recommender(spark, block_bytes):
     key = lambda df: sorted((x["usuario_id"], x["posicao"], x["conteudo_id"], round(x["pontuacao"], 2), x["status"]) for x in df.collect())
     found = recommend.best_of_blocks(users, acts, vectors, 7, block_bytes=block_bytes)
     assert key(found) == key(plain) and set(found.columns) == set(plain.columns)
+    counts = recommend.scored(recommend.similarities(users, acts, vectors)).groupBy("usuario_id", "status").count()
+    assert {tuple(x) for x in recommend.status_counts(users, acts, vectors, block_bytes=block_bytes).collect()} == {tuple(x) for x in counts.collect()}
     assert recommend.generate(users, acts, vectors, T0, 3).groupBy("usuario_id").count().where("count > 3").isEmpty()
 
 
