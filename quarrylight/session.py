@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 2_000
+SPLITS = "spark.sql.files.minPartitionNum"
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 
@@ -32,12 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix how many splits small tables are cut into, unless the session does.
+
+    Spark derives it from the cores of the moment, so a lost executor would change the partitions of a later
+    scan of the same table, and with them row numbers that two plans of an operator must agree on.
+    """
+    if spark.conf.get(SPLITS, None) is None:
+        conf = spark.sparkContext.getConf()
+        asked = int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1"))
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or max(spark.sparkContext.defaultParallelism, asked)
+        spark.conf.set(SPLITS, str(cores))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+    pin_splits(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight import session
 from quarrylight.sources import readers, sinks
 from quarrylight.sources.contracts import CATALOGUE, INTERACTION
 
@@ -120,6 +121,25 @@ def test_shared_folder_on_a_cluster(spark):
         session.shared_dir(Cluster)
 
 
+def test_row_numbers_outlive_lost_executors(spark, tmp_path):
+    for k in range(4):  # files of more than the cost of opening one
+        spark.range(k * 2_000_000, (k + 1) * 2_000_000, 1, 1).write.mode("append").option("compression", "uncompressed").parquet(str(tmp_path / "t"))
+    key, was = "spark.sql.leafNodeDefaultParallelism", spark.conf.get(session.SPLITS, None)
+    spark.conf.unset(session.SPLITS)
+    try:
+        spark.conf.set(key, "8")
+        table = spark.read.parquet(str(tmp_path / "t"))
+        numbered = lambda: table.select("id", F.monotonically_increasing_id().alias("row"))
+        first = session.written(numbered(), "numbered")
+        spark.conf.set(key, "2")  # as when executors are lost
+        assert first.exceptAll(numbered()).isEmpty()
+        spark.conf.unset(session.SPLITS)
+        assert not first.exceptAll(numbered()).isEmpty()
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(session.SPLITS) if was is None else spark.conf.set(session.SPLITS, was)
+
+
 def test_load_semantics(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, first int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, first int")
