@@ -148,14 +148,15 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_twin() -> str:
-    """The same result by comparing every block with every notice; blocks of lines only, so it misses wrapped notices."""
+    """The same result by comparing every block with every notice."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda v: "[" + ", ".join(map(quoted, v)) + "]"
-    notices = ", ".join(f"({n}, {quoted(label)}, {listed(sorted(set(words_of(text))))})" for n, (label, text) in enumerate(NOTICES))
+    longest = lambda text: len(words_of(text)) + len(words_of(text)) // 3
+    notices = ", ".join(f"({n}, {quoted(label)}, {listed(sorted(set(words_of(text))))}, {longest(text)})" for n, (label, text) in enumerate(NOTICES))
     phrases = ", ".join(f"({quoted(label)}, {listed(words_of(text))})" for label, text in PHRASES)
     rule = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     return f"""
-WITH notice(n, label, tokens) AS (VALUES {notices}),
+WITH notice(n, label, tokens, longest) AS (VALUES {notices}),
 phrase(label, p) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT rid, doc_id, low, regexp_extract_all(low, {rule}) AS w FROM d),
@@ -163,7 +164,10 @@ hit AS (SELECT rid, label, i - 1 AS i FROM (SELECT rid, w, unnest(range(1, len(w
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base FROM hit GROUP BY rid),
 line AS (SELECT rid, regexp_extract_all(line, {rule}) AS w FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d)),
 block AS (SELECT rid, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {BLOCK // 2}, 1), {BLOCK // 2})) AS s FROM line WHERE len(w) > 0)),
-own AS (SELECT rid, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM block, notice WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+lined AS (SELECT rid, label, len(list_intersect(b, tokens)) / len(tokens) AS share FROM block, notice WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+wide AS (SELECT rid, w[s + 1:s + {BLOCK}] AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {BLOCK // 2}, 1), {BLOCK // 2})) AS s FROM w WHERE contains(low, chr(10)) AND len(w) > 0)),
+run AS (SELECT rid, label, tokens, list_distinct(b[k + 1:k + longest]) AS r FROM (SELECT rid, label, tokens, longest, b, unnest(range(0, greatest(len(b) - longest + 1, 1))) AS k FROM wide, notice WHERE len(list_intersect(list_distinct(b), tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9))),
+own AS (FROM lined UNION ALL SELECT rid, label, len(list_intersect(r, tokens)) / len(tokens) AS share FROM run WHERE len(list_intersect(r, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
 mine AS (SELECT rid, list(DISTINCT label) AS own, max(share) AS score FROM own GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        array_to_string(coalesce(base, []), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -209,6 +210,28 @@ def test_wrapped_notices(spark, tmp_path):
     assert got == {0: ("mit", 1.0), 1: ("bsd-3", 1.0), 2: ("gpl-3", 1.0), 3: ("mpl-2", 1.0), 4: ("", 0.0)}
 
 
+def test_license_twin_reads_wrapped_notices(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    texts = [None, "", "\n\n", "x\n" * 5]
+    for _ in range(150):  # notices with words left out, wrapped anywhere, spread or not, among others
+        _, notice = licenses.NOTICES[rng.integers(len(licenses.NOTICES))]
+        words = [w for w in notice.split() if rng.random() > 0.12]
+        spread = rng.random() < 0.3
+        own = [w + (" filler" * int(rng.integers(0, 3)) if spread else "") for w in words]
+        before, after = (["pad"] * int(rng.integers(0, 90)) for _ in range(2))
+        texts.append("".join(w + ("\n" if rng.random() < 0.15 else " ") for w in [*before, *own, *after]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = licenses.op7_license_scan(spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = db.execute(licenses.sql_twin()).df()
+    pairs = [sorted(map(tuple, t[["doc_id", "labels", "n_words", "n_base"]].values.tolist())) for t in (got, twin)]
+    scores = [t.sort_values("doc_id")["score"].round(12).tolist() for t in (got, twin)]
+    assert pairs[0] == pairs[1] and scores[0] == scores[1]
+    assert 20 < sum(x[1] != "" for x in pairs[0]) < len(texts) - 4
+
+
 # --- near copies ---
 
 
