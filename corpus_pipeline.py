@@ -1,4 +1,9 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate, pseudonymise and pack the documents."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, pseudonymise and pack the documents.
+
+Each stage needs the five columns of documents and leaves out any others, whatever their names.  Any value may
+be null.  Repeated rows and ids are rows of their own.  An empty table passes as an empty table.  Texts are
+read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +28,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject.
+
+    Null and empty texts are scored like others.  Labels without both classes reject nothing.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,22 +39,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id."""
+    """One document of each group of near copies, that of the least doc_id; of equal ids one, a null id last.
+
+    Texts without words are in no group, so all of them stay.
+    """
     return drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that benchmark items hold."""
+    """Documents without the passages that benchmark items hold.
+
+    A text that has no word left goes.  Null and empty texts stay, items without words remove nothing.
+    """
     return _counted(remove_contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data and secrets."""
+    """Documents with surrogates for personal data and secrets; texts without any stay as they are."""
     return _counted(replace_entities(docs.select(*COLUMNS), configured_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place there."""
+    """Pieces of documents with their sequence and place there; a null or empty text is its end id alone."""
     return pack_documents(docs)
 
 

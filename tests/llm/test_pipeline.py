@@ -1,6 +1,6 @@
 """The pipeline against plain versions of its stages, and the registered queries."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +61,53 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(seen["pseudonymise"]) and max(fill.values()) <= 2048
     whole = corpus_pipeline.run(spark, DIR)
     assert whole.agg(F.count("*"), F.sum("length")).first() == (len(pieces), sum(r["length"] for r in pieces))
+
+
+LABELS, ITEMS = "doc_id long, quality int, toxic int", "item_id long, text string"
+BASE = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def folder(spark, path, docs, labels, items):
+    """Tables of a folder; documents as files, as the stages get them."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_stages_on_odd_tables(spark, tmp_path, odd_docs):
+    d = folder(spark, tmp_path, odd_docs, [(1, 1, 0), (1, 1, 0), (2, 1, 0), (5, 0, 0), (6, None, 0), (7, 0, 1), (None, 1, 0), (404, 0, 0)], [(1, "the lazy dog and runs far away from here today"), (2, None), (None, ""), (3, "Released under the MIT License.")])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = sorted(map(str, docs.select(*BASE).collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, docs, d)
+    assert kept.columns == BASE and set(map(str, kept.collect())) <= set(rows)
+    left = stages["deduplicate"](spark, docs, d)
+    assert left.columns == BASE
+    # of near copies the first by id stays, and every text without words
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter([1, 3, 4, 5, 7, 8, 9, -3, None])
+    cut = stages["decontaminate"](spark, docs, d)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()}
+    assert cut.columns == BASE and cut.where("doc_id = 1").count() == 2 and "lazy dog" not in got[1][0] and got[1][1] == len(got[1][0])
+    assert 9 not in got and got[3] == (None, None) and got[4] == ("", 0) and got[5][1] == len(got[5][0])
+    new = stages["pseudonymise"](spark, docs, d)
+    assert new.columns == BASE and sorted(r["text"] or "" for r in new.collect()) == sorted(r["text"] or "" for r in docs.collect())
+    packed = stages["pack"](spark, docs, d)
+    assert packed.where("piece = 0").count() == docs.count()
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(k, 0, 0) for k in range(9)], [(k, None, None) for k in range(9)]])
+def test_quality_without_both_classes(spark, tmp_path, odd_docs, labels):
+    d = folder(spark, tmp_path, odd_docs, labels, [])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, d).collect()
+    assert len(kept) == docs.count()  # nothing tells good from bad
+
+
+def test_empty_tables(spark, tmp_path, no_docs):
+    d = folder(spark, tmp_path, no_docs, [], [])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        assert out.count() == 0 and (name == "pack" or out.columns == BASE)
+    assert corpus_pipeline.run(spark, d).count() == 0
