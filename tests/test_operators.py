@@ -120,6 +120,14 @@ def test_numbered_is_consecutive(spark):
     assert all(r["numero"] == r["v"] + 1 for r in df.collect())
 
 
+def test_numbered_keeps_all_rows_when_ranges_are_merged(spark, small_ranges):
+    """Rows and sizes must see the same ranges, though wide rows fill more partitions than their keys alone."""
+    rows = spark.range(0, 2000, 1, 7).select((F.col("id") * 37 % 2000).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+    found = ordinals.numbered(rows, [F.col("v")]).collect()
+    assert len(found) == 2000
+    assert all(r["numero"] == r["v"] + 1 for r in found)
+
+
 @pytest.mark.parametrize("score,done,want", [(100, 1, "Positivo"), (70, 1, "Positivo"), (69.99, 1, "Estável"), (40.01, 1, "Estável"), (40, 1, "Negativo"), (0, 1, "Negativo"), (90, 0, "Negativo")])
 def test_status(spark, score, done, want):
     assert spark.range(1).select(recommend.status(F.lit(float(score)), F.lit(float(done)), 40, 70)).first()[0] == want

@@ -44,3 +44,12 @@ def test_query(spark, db, name):
     assert sorted(df.columns) == sorted(want_columns)
     got, want = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(want_columns, cursor.fetchall())
     assert got == want
+
+
+# Queries on master ids, whose numbers come from ranges.
+RANGED = "master_ids".split()
+
+
+@pytest.mark.parametrize("name", RANGED)
+def test_query_over_merged_ranges(spark, db, small_ranges, name):
+    test_query(spark, db, name)
