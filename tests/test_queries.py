@@ -47,7 +47,7 @@ def test_query(spark, db, name):
 
 
 # Queries on master ids, whose numbers come from ranges.
-RANGED = "master_ids action_list chart_active_users chart_by_day_part".split()
+RANGED = "master_ids action_list chart_active_users chart_by_day_part consumption".split()
 
 
 @pytest.mark.parametrize("name", RANGED)
