@@ -47,7 +47,7 @@ def test_query(spark, db, name):
 
 
 # Queries on master ids, whose numbers come from ranges.
-RANGED = "master_ids action_list chart_active_users chart_by_day_part consumption dim_content fact_comment fact_recommendation kpi_monthly_lag master_ids_second_run master_members recommendation_conversion_rows alert_value".split()
+RANGED = "master_ids action_list chart_active_users chart_by_day_part consumption dim_content fact_comment fact_recommendation kpi_monthly_lag master_ids_second_run master_members recommendation_conversion_rows alert_value chart_actions".split()
 
 
 @pytest.mark.parametrize("name", RANGED)
