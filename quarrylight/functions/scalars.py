@@ -132,6 +132,12 @@ def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(a.cast("double") / F.nullif(b, F.lit(0)).cast("double"), digits)
 
 
+def rounded(c: Column, digits: int = 2) -> Column:
+    """A double rounded half up after it is scaled, as the SQL does.  F.round goes by the decimal digits instead
+    and makes 1.01 of 1.005, whose double lies below."""
+    return F.round(c * F.lit(float(10**digits))) / F.lit(float(10**digits))
+
+
 def in_month(c: str, month_: str) -> Column:
     """Whether a time without zone lies in a month (yyyy-MM), as a range that scans can push down."""
     first = F.lit(f"{month_}-01 00:00:00").cast("timestamp_ntz")

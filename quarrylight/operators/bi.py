@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.measures import metrics
-from quarrylight.functions.scalars import age_months, day_part, masked, position_band, ratio
+from quarrylight.functions.scalars import age_months, day_part, masked, position_band, ratio, rounded
 
 
 def engagement_rows(fact: DataFrame, dim: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def action_list(dim: DataFrame, interactions: DataFrame, comments: DataFrame, or
     # the median from counts of counts, so that no task holds a number a content
     sizes = used.groupBy("usuarios").agg(F.count("*").alias("vezes"))
     middle = sizes.agg(F.percentile("usuarios", 0.5, F.col("vezes")).alias("mediana"))  # one row
-    rated = ratings(interactions, comments).groupBy("conteudo_mestre_id").agg(F.round(F.avg("nota"), 2).alias("nota_media"), F.count("nota").alias("qtd_notas"))
+    rated = ratings(interactions, comments).groupBy("conteudo_mestre_id").agg(rounded(F.avg("nota")).alias("nota_media"), F.count("nota").alias("qtd_notas"))
     base = dim.select("conteudo_mestre_id", "titulo", "tipo", "categoria", "nivel", "data_publicacao").join(used, "conteudo_mestre_id").join(rated, "conteudo_mestre_id", "left").crossJoin(F.broadcast(middle))
     # The five actions and the limits of a mean rating.
     many, mean = F.col("usuarios") > F.col("mediana"), F.col("nota_media")

@@ -1,5 +1,6 @@
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,23 @@ def test_classification_and_treatment(spark):
     assert not validation.broken_keys(df, ["conteudo_id"]).isEmpty() and validation.violating(df, F.col("titulo") != " ").count() == 1
 
 
+# Sums of ratings from 1 to 5 whose mean over 200 lies halfway between two hundredths.
+HALFWAY = [s for s in range(200, 1001) if s % 2]
+
+
+def test_action_list_rounds_means_as_its_sql(spark):
+    low = F.floor(F.col("soma") / 200)
+    rows = spark.createDataFrame([(f"CM-{s:06d}", s) for s in HALFWAY], "conteudo_mestre_id string, soma int")
+    given = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(200)))).select(
+        "conteudo_mestre_id", F.lit("u").alias("usuario_chave"), F.lit(T0).cast("timestamp_ntz").alias("data_hora"), (low + (F.col("i") <= F.col("soma") % 200).cast("int")).cast("int").alias("avaliacao_atribuida"),
+    )
+    dim = rows.select("conteudo_mestre_id", *[F.lit("x").alias(c) for c in ("titulo", "tipo", "categoria", "nivel")], F.lit(T0.date()).alias("data_publicacao"))
+    comments = spark.createDataFrame([], "conteudo_mestre_id string, avaliacao int")
+    found = {r["conteudo_mestre_id"]: r["nota_media"] for r in bi.action_list(dim, given, comments).collect()}
+    want = duckdb.connect().execute("SELECT 'CM-' || lpad(CAST(s AS VARCHAR), 6, '0'), round(s / 200.0, 2) FROM range(200, 1001) t(s) WHERE s % 2 = 1").fetchall()
+    assert found == dict(want)
+
+
 def test_alert_and_metrics(spark):
     facts = spark.createDataFrame([(True, i < 3) for i in range(100)], "geracao_vigente boolean, convertida boolean")
     alert = bi.Alert()
