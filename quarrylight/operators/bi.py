@@ -26,8 +26,9 @@ def engagement_rows(fact: DataFrame, dim: DataFrame) -> DataFrame:
 def recommendation_conversion_rows(fact: DataFrame, dim: DataFrame) -> DataFrame:
     d = dim.select("conteudo_mestre_id", "categoria", "tipo")
     rows = fact.where("geracao_vigente").join(d, "conteudo_mestre_id")
+    mean = F.sum("pontuacao") / F.count("pontuacao")  # avg would round a decimal to six digits first
     return rows.groupBy(F.to_date(F.trunc("data_geracao", "month")).alias("mes_geracao"), "categoria", "tipo", position_band("posicao").alias("faixa_posicao"), "status").agg(
-        F.count("*").alias("recomendacoes"), F.count_if("convertida").alias("convertidas"), F.count_if("concluida").alias("concluidas"), F.round(F.avg("pontuacao").cast("double"), 2).alias("pontuacao_media")
+        F.count("*").alias("recomendacoes"), F.count_if("convertida").alias("convertidas"), F.count_if("concluida").alias("concluidas"), F.round(mean, 2).cast("double").alias("pontuacao_media")
     )
 
 

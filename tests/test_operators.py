@@ -244,6 +244,17 @@ def test_action_list_rounds_means_as_its_sql(spark):
     assert found == dict(want)
 
 
+def test_conversion_rows_round_means_once(spark):
+    """30,001 hundredths over 20,001 rows: 0.01499975, which six digits make 0.015."""
+    facts = spark.range(20_001).select(
+        F.lit("CM-000001").alias("conteudo_mestre_id"), F.lit(True).alias("geracao_vigente"), F.lit(T0).cast("timestamp_ntz").alias("data_geracao"), F.lit(1).alias("posicao"), F.lit("Negativo").alias("status"),
+        F.when(F.col("id") < 10_001, 0.01).otherwise(0.02).cast("decimal(5,2)").alias("pontuacao"), F.lit(True).alias("convertida"), F.lit(False).alias("concluida"),
+    )
+    dim = spark.createDataFrame([("CM-000001", "c", "Curso")], "conteudo_mestre_id string, categoria string, tipo string")
+    row = bi.recommendation_conversion_rows(facts, dim).first()
+    assert (row["recomendacoes"], row["pontuacao_media"]) == (20_001, 0.01)
+
+
 def test_alert_and_metrics(spark):
     facts = spark.createDataFrame([(True, i < 3) for i in range(100)], "geracao_vigente boolean, convertida boolean")
     alert = bi.Alert()
