@@ -55,7 +55,7 @@ def action_list(dim: DataFrame, interactions: DataFrame, comments: DataFrame, or
 
 def conversion_value(fact: DataFrame) -> DataFrame:
     n, hit = F.count("*"), F.count_if("convertida")
-    return fact.where("geracao_vigente").agg(F.round(F.lit(100.0) * hit / F.nullif(n, F.lit(0)), 2).alias("taxa_conversao_pct"))
+    return fact.where("geracao_vigente").agg(rounded(F.lit(100.0) * hit / F.nullif(n, F.lit(0))).alias("taxa_conversao_pct"))
 
 
 # --- charts ---

@@ -255,6 +255,14 @@ def test_conversion_rows_round_means_once(spark):
     assert (row["recomendacoes"], row["pontuacao_media"]) == (20_001, 0.01)
 
 
+def test_conversion_value_rounds_as_its_sql(spark):
+    """41 of 4,000 are 1.025 %, a double that lies below it."""
+    facts = spark.range(4000).select(F.lit(True).alias("geracao_vigente"), (F.col("id") < 41).alias("convertida"))
+    want = duckdb.connect().execute("SELECT round(100.0 * count(*) FILTER (WHERE i < 41) / nullif(count(*), 0), 2) FROM range(4000) t(i)").fetchall()[0][0]
+    assert bi.conversion_value(facts).first()[0] == want == 1.02
+    assert bi.conversion_value(facts.where("NOT geracao_vigente")).first()[0] is None
+
+
 def test_alert_and_metrics(spark):
     facts = spark.createDataFrame([(True, i < 3) for i in range(100)], "geracao_vigente boolean, convertida boolean")
     alert = bi.Alert()
